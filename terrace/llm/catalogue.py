@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import attribution, packing, tokenbin
+from . import attribution, linededup, packing, tokenbin
 
-_MODULES = (packing, tokenbin, attribution)
+_MODULES = (packing, tokenbin, attribution, linededup)
 
 
 def queries() -> dict[str, Callable]:
