@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import attribution, linededup, packing, tokenbin
+from . import attribution, langid, linededup, packing, quality, tokenbin
 
-_MODULES = (packing, tokenbin, attribution, linededup)
+_MODULES = (langid, quality, packing, tokenbin, attribution, linededup)
 
 
 def queries() -> dict[str, Callable]:
