@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import attribution, langid, linededup, minhash, packing, quality, tokenbin
+from . import attribution, decontaminate, langid, linededup, minhash, packing, quality, tokenbin
 
-_MODULES = (langid, quality, packing, tokenbin, attribution, linededup, minhash)
+_MODULES = (langid, quality, packing, tokenbin, attribution, linededup, minhash, decontaminate)
 
 
 def queries() -> dict[str, Callable]:
