@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import attribution, decontaminate, langid, linededup, minhash, packing, quality, tokenbin
+from . import attribution, decontaminate, langid, linededup, minhash, packing, phrases, quality, suffixes, tokenbin
 
-_MODULES = (langid, quality, packing, tokenbin, attribution, linededup, minhash, decontaminate)
+_MODULES = (langid, quality, packing, tokenbin, attribution, suffixes, linededup, minhash, decontaminate, phrases)
 
 
 def queries() -> dict[str, Callable]:

@@ -103,12 +103,13 @@ class Rolling:
     """Hashes of any range of a byte sequence in constant time each; equal bytes have equal hashes anywhere."""
 
     def __init__(self, data: np.ndarray, seed: int = 1):
+        """data: bytes, or 64-bit values that are hashes already."""
         if seed not in _RANDOM:
             _RANDOM[seed] = np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.base = (_BASE + 2 * seed * 0x1F123BB5) % 2**64 | 1
         power, self.back = _powers(len(data) + 1, self.base)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.add.accumulate(_RANDOM[seed][data] * power[: len(data)], out=self.sums[1:])
+        np.add.accumulate((_RANDOM[seed][data] if data.dtype == np.uint8 else data) * power[: len(data)], out=self.sums[1:])
 
     def between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
@@ -159,3 +160,22 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     before = np.minimum.accumulate(y, axis=1).ravel()
     after = np.ascontiguousarray(np.minimum.accumulate(y[:, ::-1], axis=1)[:, ::-1]).ravel()
     return np.minimum(after[:m], before[width - 1 : width - 1 + m])
+
+
+def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """One bit for each of 2**bits residues that a 64-bit column has; its size doesn't depend on the data.
+
+    A filter that lets every row through that matters: where the data outgrow it, it lets all rows through.
+    """
+    n = F.pmod(F.col(column), F.lit(1 << bits)) + 1
+    packed = df.groupBy(F.bitmap_bucket_number(n).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(n)).alias("b"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in packed.toLocalIterator():
+        at = (r["k"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(bytes(r["b"]), np.uint8)[: len(out) - at]
+    return out
+
+
+def in_bitmap(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    low = x.astype(np.uint64) & np.uint64(8 * len(table) - 1)
+    return (table[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
