@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .shapes import POLYGON, Shape, as_column, point, polygon, polyline
+from .shapes import POLYGON, Shape, as_column, point_or_null, polygon, polyline
 
 
 def _coordinates(s: Shape) -> Column:
@@ -56,12 +56,12 @@ def shapes_of(kind: Column | str, coordinates: Column | str) -> Column:
     nothing = _from_rings(rings, polyline)  # only for its type
 
     def one(p=None, q=None, r=None) -> Column:
-        blank_point, blank = F.when(F.lit(False), point(0.0, 0.0)), F.when(F.lit(False), nothing)
+        blank_point, blank = F.when(F.lit(False), point_or_null(0.0, 0.0)), F.when(F.lit(False), nothing)
         return F.struct((p if p is not None else blank_point).alias("point"), (q if q is not None else blank).alias("polyline"), (r if r is not None else blank).alias("polygon"))
 
     return (
-        F.when(kind == "Point", F.array(one(p=point(F.get(flat, F.lit(0)), F.get(flat, F.lit(1))))))
-        .when(kind == "MultiPoint", F.transform(line, lambda c: one(p=point(F.get(c, F.lit(0)), F.get(c, F.lit(1))))))
+        F.when(kind == "Point", F.array(one(p=point_or_null(F.get(flat, F.lit(0)), F.get(flat, F.lit(1))))))
+        .when(kind == "MultiPoint", F.transform(line, lambda c: one(p=point_or_null(F.get(c, F.lit(0)), F.get(c, F.lit(1))))))
         .when(kind == "LineString", F.array(one(q=_from_rings(F.array(line), polyline))))
         .when(kind.isin("MultiLineString", "Polyline"), F.array(one(q=_from_rings(rings, polyline))))
         .when(kind == "Polygon", F.array(one(r=_from_rings(rings, polygon))))

@@ -33,7 +33,7 @@ def checked(precision: int) -> int:
 
 def _place(v: Column, low: float, high: float, bits: int) -> Column:
     n = 1 << bits
-    return F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((v - low) / (high - low) * n))).cast("long")
+    return F.when(v.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((v - low) / (high - low) * n))).cast("long"))
 
 
 def _spread(v: Column) -> Column:

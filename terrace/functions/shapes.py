@@ -64,13 +64,20 @@ def _struct(tag: int, xmin, ymin, xmax, ymax, **fields: Column) -> Column:
 
 
 def point(x: Column | str | float, y: Column | str | float) -> Column:
+    """A point. Nothing stands between a filter on it and the columns it is made of, so filters reach the scan.
+
+    With a null coordinate every predicate is null, as with a null point.
+    """
+    return raw_point(as_column(x).cast("double"), as_column(y).cast("double"))
+
+
+def point_or_null(x: Column | str | float, y: Column | str | float) -> Column:
     """A point; null if a coordinate is null."""
     x, y = as_column(x).cast("double"), as_column(y).cast("double")
     return F.when(x.isNotNull() & y.isNotNull(), raw_point(x, y))
 
 
 def raw_point(x: Column, y: Column) -> Column:
-    """A point of coordinates that aren't null: nothing stands between a filter on them and the scan."""
     return _struct(POINT, x, y, x, y, x=x, y=y)
 
 
@@ -174,8 +181,8 @@ def edges(s: Shape) -> Column:
     x, y, first = c["xcoordinates"], c["ycoordinates"], c["indices"]
     n = F.size(x)
     # One vertex alone is an edge of no length, so that a polyline of one vertex can be met.
-    inner = F.filter(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: (n > 1) & ~F.array_contains(first, i + 1))
-    return F.transform(inner, lambda i: edge(F.get(x, i), F.get(y, i), F.get(x, i + 1), F.get(y, i + 1)))
+    inner = F.filter(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: (n == 1) | ~F.array_contains(first, i + 1))
+    return F.transform(inner, lambda i: edge(F.get(x, i), F.get(y, i), F.get(x, F.least(i + 1, n - 1)), F.get(y, F.least(i + 1, n - 1))))
 
 
 # Accessors.

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.shapes import point, polygon, polyline
+from ..functions.shapes import point_or_null, polygon, polyline
 from .geojson import finished
 
 _TAGS = "tag array<struct<_k:string,_v:string>>"
@@ -31,7 +31,7 @@ def read_osm(spark: SparkSession, path: str) -> DataFrame:
     none = F.lit(None)
     blank_line = F.when(F.lit(False), polyline(F.array(F.lit(0)), F.array(F.lit(0.0)), F.array(F.lit(0.0))))
     blank_area = F.when(F.lit(False), polygon(F.array(F.lit(0)), F.array(F.lit(0.0)), F.array(F.lit(0.0))))
-    as_points = nodes.select(point("_lon", "_lat").alias("point"), blank_line.alias("polyline"), blank_area.alias("polygon"), _metadata())
+    as_points = nodes.select(point_or_null("_lon", "_lat").alias("point"), blank_line.alias("polyline"), blank_area.alias("polygon"), _metadata())
 
     refs = ways.select("_id", F.posexplode("nd").alias("place", "nd")).select("_id", "place", F.col("nd._ref").alias("ref"))
     placed = refs.join(nodes.select(F.col("_id").alias("ref"), "_lon", "_lat"), "ref")
@@ -44,7 +44,7 @@ def read_osm(spark: SparkSession, path: str) -> DataFrame:
     area = closed & (F.coalesce(m["area"] == "yes", F.lit(False)) | ~(F.map_contains_key(m, "barrier") | F.map_contains_key(m, "highway")))
     one = F.array(F.lit(0))
     as_ways = joined.select(
-        F.when(n == 1, point(F.get(xs, F.lit(0)), F.get(ys, F.lit(0)))).alias("point"),
+        F.when(n == 1, point_or_null(F.get(xs, F.lit(0)), F.get(ys, F.lit(0)))).alias("point"),
         F.when((n > 1) & ~area, polyline(one, xs, ys)).alias("polyline"),
         F.when(area, polygon(one, xs, ys)).alias("polygon"),
         "metadata",

@@ -137,7 +137,7 @@ def read_shapefile(spark: SparkSession, path: str, trim: bool = True) -> DataFra
     rows = read_shp(spark, path).join(read_dbf(spark, path, trim), ["file", "record"], "left")
     return finished(
         rows.select(
-            F.when(k == 1, S.point(F.get("xs", F.lit(0)), F.get("ys", F.lit(0)))).alias("point"),
+            F.when(k == 1, S.point_or_null(F.get("xs", F.lit(0)), F.get("ys", F.lit(0)))).alias("point"),
             F.when(k == 3, S.polyline("indices", "xs", "ys")).alias("polyline"),
             F.when(k == 5, S.polygon("indices", "xs", "ys")).alias("polygon"),
             "metadata",
