@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
@@ -87,16 +87,41 @@ class MultiIndex:
         return both // max(1, len(self.prints)), both % max(1, len(self.prints))
 
 
-@dataclass
+@dataclass(eq=False)
 class Items:
     """Benchmark items of one group, by their number of words."""
 
     ids: list
     size: np.ndarray
+    kinds: list[int]  # words of a shingle: SHINGLE, and the sizes of shorter items
     shingles: list[np.ndarray]  # sorted, with repeats
     known: np.ndarray  # all shingles, sorted and distinct
     weight: np.ndarray  # of known
     prints: np.ndarray
+    held: tuple[np.ndarray, np.ndarray]  # for each of known, where its sizes start; sizes of the items that have it
+    built: dict = field(default_factory=dict)
+
+    def index(self, size: int) -> tuple[MultiIndex, np.ndarray]:
+        """Fingerprints of the items of a size, and which items these are; built where first needed."""
+        if size not in self.built:
+            who = np.flatnonzero(self.size == size)
+            self.built[size] = MultiIndex(self.prints[who]), who
+        return self.built[size]
+
+    def hits(self, hashes: np.ndarray) -> dict[int, np.ndarray]:
+        """For each size of items: places of the shingles that an item of this size has."""
+        at, sizes = [], []
+        for n in self.kinds:
+            s = grams(hashes, SHINGLE) if n == SHINGLE else mix(grams(hashes, n) + np.uint64(n))
+            if len(s):
+                k = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
+                found = np.flatnonzero(self.known[k] == s)
+                starts, every = self.held
+                count = starts[k[found] + 1] - starts[k[found]]
+                at.append(np.repeat(found, count))
+                sizes.append(every[np.repeat(starts[k[found]], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)])
+        at, sizes = np.concatenate(at), np.concatenate(sizes)
+        return {int(n): at[sizes == n] for n in np.unique(sizes)}
 
     def weights(self, shingles: np.ndarray) -> np.ndarray:
         """Shingles in no item weigh most."""
@@ -121,7 +146,10 @@ def prepared(rows: list[tuple[int, str]]) -> Items | None:
     if not ids:
         return None
     known, count = np.unique(np.concatenate([np.unique(s) for s in sets]), return_counts=True)
-    items = Items(ids, np.array(sizes), sets, known, 1 + np.log(len(ids) / count), np.zeros(0, np.uint64))
+    has = np.unique(np.concatenate([np.searchsorted(known, s) * np.int64(1 << 31) + n for s, n in zip(sets, sizes)]))
+    held = np.searchsorted(has >> 31, np.arange(len(known) + 1)), has & ((1 << 31) - 1)
+    kinds = [SHINGLE, *sorted({n for n in sizes if n < SHINGLE})]
+    items = Items(ids, np.array(sizes), kinds, sets, known, 1 + np.log(len(ids) / count), np.zeros(0, np.uint64), held)
     items.prints = np.concatenate([_packed((_bits(s) * items.weights(s)[:, None].astype(np.float32)).sum(0, keepdims=True)) for s in sets])
     return items
 
@@ -137,22 +165,19 @@ def similarity(a: np.ndarray, b: np.ndarray, items: Items) -> float:
     return float((w * np.minimum(p, q)).sum() / (w * np.maximum(p, q)).sum())
 
 
-def matches(hashes: np.ndarray, items: Items, indexes: dict[int, tuple[MultiIndex, np.ndarray]], least: float = LEAST) -> list[tuple[int, float, int]]:
+def matches(hashes: np.ndarray, items: Items, least: float = LEAST) -> list[tuple[int, float, int]]:
     """(item, best similarity, first word of the first best window) for a document's word hashes."""
     best: dict[int, tuple[float, int]] = {}
     n = len(hashes)
-    runs = _shingles(hashes) if n >= SHINGLE else np.zeros(0, np.uint64)
-    for size, (index, who) in indexes.items():
+    runs = grams(hashes, SHINGLE)
+    for size, hit in items.hits(hashes).items():
         if n < size:
             continue
+        index, who = items.index(size)
         if size < SHINGLE:
             s, width = mix(grams(hashes, size) + np.uint64(size)), 1
         else:
             s, width = runs, size - SHINGLE + 1
-        at = np.minimum(np.searchsorted(items.known, s), len(items.known) - 1)
-        hit = np.flatnonzero(items.known[at] == s)
-        if not len(hit):
-            continue
         last = len(s) - width
         lo, hi = np.maximum(0, hit - width + 1), np.minimum(hit, last)
         cover = np.zeros(last + 2, np.int64)
@@ -189,25 +214,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
             group = held.value
             if group is None:
                 return
-            indexes = {int(n): (MultiIndex(group.prints[group.size == n]), np.flatnonzero(group.size == n)) for n in np.unique(group.size)}
-            probe = np.zeros(1 << 20, bool)
-            probe[(group.known >> np.uint64(44)).astype(np.int64)] = True
-            short = bool((group.size < SHINGLE).any())
+            probe = np.zeros(1 << 22, bool)
+            probe[(group.known >> np.uint64(42)).astype(np.int64)] = True
             for batch in batches:
                 names = batch.column(0).to_pylist()
                 for a, b, data, offsets in parts(batch.column(1)):
                     low = LOWER[data]
                     starts, ends, first = words(low, offsets)
                     hashes = Rolling(low).between(starts, ends)
-                    # Documents without a word or shingle that looks like an item's are done with.
+                    # Documents without a shingle of any item are done with: a bitmap first, then the shingles themselves.
                     seen = np.zeros(len(hashes) + 1, np.int64)
-                    g5 = grams(hashes, SHINGLE)
-                    np.cumsum(probe[(g5 >> np.uint64(44)).astype(np.int64)], out=seen[1 : len(g5) + 1])
-                    seen[len(g5) + 1 :] = seen[len(g5)]
+                    for n in group.kinds:
+                        s = grams(hashes, SHINGLE) if n == SHINGLE else mix(grams(hashes, n) + np.uint64(n))
+                        hit = np.flatnonzero(probe[(s >> np.uint64(42)).astype(np.int64)])
+                        seen[hit[np.isin(s[hit], group.known)] + 1] += 1
+                    np.cumsum(seen, out=seen)
                     out: list[tuple] = []
                     for i, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-                        if y > x and (short or seen[y] > seen[x]):
-                            out += [(names[a + i], group.ids[j], s, w) for j, s, w in matches(hashes[x:y], group, indexes, least)]
+                        if seen[y] > seen[x]:
+                            out += [(names[a + i], group.ids[j], s, w) for j, s, w in matches(hashes[x:y], group, least)]
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["doc_id", "item_id", "similarity", "start_word"])
 
