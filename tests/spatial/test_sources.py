@@ -179,3 +179,15 @@ def test_stream_of_points(spark, tmp_path):
 def test_lone_vertices(spark):
     one = Shape(polyline(F.array(F.lit(0)), F.array(F.lit(1.0)), F.array(F.lit(1.0))), "multi")
     assert spark.range(1).select(P.intersects(one, Shape(point(1.0, 1.0), "point")), multis(one.col)["xmin"]).first()[:] == (True, 1.0)
+
+
+def test_windowed_counts_of_a_stream(spark, tmp_path):
+    from terrace.streaming.static_join import counts_by_region
+
+    rows = [("2024-01-01 00:00:10", 1), ("2024-01-01 00:00:50", 1), ("2024-01-01 00:01:10", 2), ("2024-01-01 01:00:00", 1)]
+    spark.createDataFrame(rows, "t string, region int").select(F.col("t").cast("timestamp").alias("t"), "region").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("t timestamp, region int").parquet(str(tmp_path / "in"))
+    counted = counts_by_region(stream, "t", "region", "1 minute", "1 minute")
+    q = counted.writeStream.outputMode("complete").format("memory").queryName("counted").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r.region, r.n) for r in spark.table("counted").collect()) == [(1, 1), (1, 2), (2, 1)]
