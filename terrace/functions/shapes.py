@@ -118,6 +118,7 @@ class Shape:
 
     col: Column
     kind: str
+    made_edges: Column | None = None  # a column of the edges, where they are made already
 
     @staticmethod
     def of(df: DataFrame, name: str) -> Shape:
@@ -139,7 +140,7 @@ class Shape:
     @property
     def edges(self) -> Column:
         """array<struct<x0, y0, x1, y1>>; parts and rings aren't joined. A point has none."""
-        return edges(self)
+        return edges(self) if self.made_edges is None else self.made_edges
 
     @property
     def vertices(self) -> Column:

@@ -45,6 +45,11 @@ def _cells(df: DataFrame, shape: Shape, precision: int, world: Box, index: str |
     return df.withColumn(name, (F.explode_outer if outer else F.explode)(cells))
 
 
+def _with_edges(df: DataFrame, s: Shape, name: str) -> tuple[DataFrame, Shape]:
+    """Edges of polylines and polygons are made once a row, before it meets its candidates."""
+    return (df.withColumn(name, s.edges), Shape(s.col, s.kind, F.col(name))) if s.kind == "multi" else (df, s)
+
+
 def _inner(left: DataFrame, right: DataFrame, l: Shape, r: Shape, matched: Column, precision: int, world: Box, left_index: str | None, right_index: str | None) -> DataFrame:
     a = _cells(left, l, precision, world, left_index, "__cell_l")
     b = _cells(right, r, precision, world, right_index, "__cell_r")
@@ -84,7 +89,9 @@ def spatial_join(
     if both := set(left.columns) & set(right.columns):
         raise ValueError(f"both sides have {', '.join(sorted(both))}")
     grid.checked(precision)
-    l, r = Shape.of(left, left_shape), Shape.of(right, right_shape)
+    left_columns, right_columns = left.columns, right.columns
+    left, l = _with_edges(left, Shape.of(left, left_shape), "__edges_l")
+    right, r = _with_edges(right, Shape.of(right, right_shape), "__edges_r")
     matched = PREDICATES[predicate](l, r)
     if condition is not None:
         matched = matched & condition
@@ -94,9 +101,9 @@ def spatial_join(
         a = _cells(left, l, precision, world, left_index, "__cell_l", outer=True)
         b = _cells(right, r, precision, world, right_index, "__cell_r")
         joined = a.join(b, (F.col("__cell_l") == F.col("__cell_r")) & matched, how)
-        return joined.select(*left.columns, *(right.columns if how in ("inner", "left") else []))
+        return joined.select(*left_columns, *(right_columns if how in ("inner", "left") else []))
     if how == "inner":
-        return _inner(left, right, l, r, matched, precision, world, left_index, right_index).select(*left.columns, *right.columns)
+        return _inner(left, right, l, r, matched, precision, world, left_index, right_index).select(*left_columns, *right_columns)
 
     def numbered(df: DataFrame, key: list[str] | None, name: str) -> DataFrame:
         if key:
@@ -111,16 +118,16 @@ def spatial_join(
     needs_right = how in ("right", "full")
     a = numbered(left, left_key, "__l")
     b = numbered(right, right_key, "__r") if needs_right else right.withColumn("__r", F.lit(0))
-    pairs = _inner(a, b, Shape.of(a, left_shape), Shape.of(b, right_shape), matched, precision, world, left_index, right_index)
+    pairs = _inner(a, b, l, r, matched, precision, world, left_index, right_index)
     if how in ("left_semi", "left_anti"):
-        return a.join(pairs.select(F.col("__l").alias("__hit")), F.col("__l") == F.col("__hit"), how).select(*left.columns)
-    out = pairs.select(*left.columns, *right.columns)
+        return a.join(pairs.select(F.col("__l").alias("__hit")), F.col("__l") == F.col("__hit"), how).select(*left_columns)
+    out = pairs.select(*left_columns, *right_columns)
     if how in ("left", "full"):
         lone = a.join(pairs.select(F.col("__l").alias("__hit")), F.col("__l") == F.col("__hit"), "left_anti")
-        out = out.unionByName(lone.select(*left.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema]))
+        out = out.unionByName(lone.select(*left_columns, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in right_columns]))
     if needs_right:
         lone = b.join(pairs.select(F.col("__r").alias("__hit")), F.col("__r") == F.col("__hit"), "left_anti")
-        out = out.unionByName(lone.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in left.schema], *right.columns))
+        out = out.unionByName(lone.select(*[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left_columns], *right_columns))
     return out
 
 
