@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_folder, stored
-from .repeats import MOST, Found, Shape, cover, find, hashed_windows, keyed, removed, runs_of, with_texts
+from .repeats import MOST, Found, Shape, cover, crowded_windows, find, keyed, removed, runs_of, with_texts
 from .suffixes import COVERED
 
 LENGTH, CORE = 20, 8
-SHARD = 20_000
+SHARD = 5_000
 
 
 def passages(texts: DataFrame, shape: Shape, shards: int) -> DataFrame:
@@ -92,11 +92,7 @@ def later_windows(rows: DataFrame, shape: Shape, folder: str, most: int = MOST)
     shards = max(1, -(-usual.count() // SHARD))
     covered = settled.union(located(stored(passages(with_texts(usual, rows), shape, shards), f"{folder}/passages"), shape))
     if not crowded.isEmpty():
-        windows = stored(hashed_windows(with_texts(crowded, rows), shape), f"{folder}/windows")
-        place = F.struct("id", "th", "at")
-        twice = windows.groupBy("wa", "wb").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f != l").select("wa", "wb", "f")
-        twice = stored(twice, f"{folder}/twice")
-        covered = covered.union(windows.join(twice, ["wa", "wb"]).where(place != F.col("f")).select("id", "th", F.col("at").alias("lo"), F.col("at").alias("hi")))
+        covered = covered.union(crowded_windows(crowded, rows, shape, folder, earlier=True))
     return stored(covered, f"{folder}/covered")
 
 

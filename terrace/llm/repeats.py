@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import Rolling, bitmap, grams, in_bitmap, mix, parts, sliding_min, stored, words
 
-MOST = 1000
+#: Contexts of a core that one task may hold: some 7 MB of text, and 50 MB of hashes of their windows.
+MOST = 20_000
 CORE_BITS, DOC_BITS = 26, 24
 NO_ID = -(2**63)
 
@@ -143,25 +144,67 @@ def with_texts(branching: DataFrame, rows: DataFrame) -> DataFrame:
     return documents_in(rows, branching).join(by, ["id", "th"]).select("id", "th", "text", "units")
 
 
-def hashed_windows(texts: DataFrame, shape: Shape) -> DataFrame:
-    """id, th, at, many, wa, wb: each window of the units, with a 128-bit hash. For cores with very many contexts."""
+def _blocks(texts: DataFrame, shape: Shape) -> DataFrame:
+    """id, th, lo, hi, many, ba, bb, windows: stretches of the units' windows, cut at fixed distances from their core.
+
+    ba, bb: a 128-bit hash of what a stretch covers. windows: such hashes of each of its windows.
+    """
+    step = 4 if shape.words else 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = pa.list_(pa.struct([("wa", pa.int64()), ("wb", pa.int64())]))
         for batch in batches:
             for i in range(batch.num_rows):
-                raw = (batch.column(2)[i].as_py() or "").encode()
+                name, th, raw = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), (batch.column(2)[i].as_py() or "").encode()
                 data = np.frombuffer(raw, np.uint8)
                 symbols, _ = shape.symbols(data, np.array([0, len(data)]))
                 one, two = Rolling(symbols), Rolling(mix(symbols.astype(np.uint64) + np.uint64(1)), 2)
+                anchors = shape.anchors(shape.cores(symbols))
+                lo, hi, many = [], [], []
                 for u in batch.column(3)[i].as_py():
-                    at = np.arange(u["lo"], u["hi"] + 1)
-                    n = len(at)
-                    arrays = [pa.array([x] * n, pa.int64()) for x in (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())]
-                    arrays += [pa.array(at, pa.int32()), pa.array([u["many"]] * n, pa.int64())]
-                    arrays += [pa.array(x.between(at, at + shape.length).view(np.int64)) for x in (one, two)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["id", "th", "at", "many", "wa", "wb"])
-
-    return texts.mapInArrow(run, "id long, th long, at int, many long, wa long, wb long")
+                    anchor, at = int(anchors[u["lo"]]), u["lo"]
+                    while at <= u["hi"]:
+                        last = min(u["hi"], anchor - (anchor - at) // step * step)
+                        lo.append(at)
+                        hi.append(last)
+                        many.append(u["many"])
+                        at = last + 1
+                a, z = np.array(lo), np.array(hi)
+                sizes = z - a + 1
+                every = np.repeat(a, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                hashes = [pa.array(h.between(every, every + shape.length).view(np.int64)) for h in (one, two)]
+                windows = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.StructArray.from_arrays(hashes, ["wa", "wb"]))
+                n = len(lo)
+                arrays = [pa.array([name] * n, pa.int64()), pa.array([th] * n, pa.int64()), pa.array(a, pa.int32()), pa.array(z, pa.int32()), pa.array(many, pa.int64())]
+                arrays += [pa.array(h.between(a, z + shape.length).view(np.int64)) for h in (one, two)]
+                yield pa.RecordBatch.from_arrays([*arrays, windows.cast(pair)], names=["id", "th", "lo", "hi", "many", "ba", "bb", "windows"])
+
+    return texts.mapInArrow(run, "id long, th long, lo int, hi int, many long, ba long, bb long, windows array<struct<wa:bigint,wb:bigint>>")
+
+
+def crowded_windows(crowded: DataFrame, rows: DataFrame, shape: Shape, folder: str, earlier: bool) -> DataFrame:
+    """id, th, lo, hi: repeated windows of cores with very many contexts, without bringing a core's contexts together.
+
+    Blocks of equal content are settled by their number, or by the first of them, as contexts are; then one block of each
+    content brings its windows, which are counted in turn. earlier: of equal windows the first isn't among the result;
+    else all are, but those of contexts that occur again, which are settled elsewhere.
+    """
+    blocks = stored(_blocks(with_texts(crowded, rows), shape), f"{folder}/blocks")
+    each = blocks.groupBy("ba", "bb").agg(F.sum("many").alias("total"), F.min(F.struct("id", "th", "lo", "hi", "windows")).alias("f"))
+    each = stored(each.select("ba", "bb", "total", "f.*"), f"{folder}/distinct-blocks")
+    windows = each.select("id", "th", "lo", "total", F.posexplode("windows").alias("k", "w")).select("id", "th", (F.col("lo") + F.col("k")).alias("at"), "total", "w.wa", "w.wb")
+    place = F.struct("id", "th", "at")
+    twice = windows.groupBy("wa", "wb").agg(F.sum("total").alias("sum"), F.min(place).alias("f"), F.max(place).alias("l"))
+    if earlier:
+        first = each.select("ba", "bb", F.struct("id", "th", "lo").alias("f"))
+        settled = blocks.join(first, ["ba", "bb"]).where(F.struct("id", "th", "lo") != F.col("f"))
+        twice = twice.where("f != l").select("wa", "wb", "f")
+        found = windows.join(stored(twice, f"{folder}/twice"), ["wa", "wb"]).where(place != F.col("f"))
+    else:
+        settled = blocks.where("many = 1").join(each.where("total > 1").select("ba", "bb"), ["ba", "bb"])
+        twice = twice.where("sum > 1").select("wa", "wb")
+        found = windows.where("total = 1").join(stored(twice, f"{folder}/twice"), ["wa", "wb"])
+    return settled.select("id", "th", "lo", "hi").union(found.select("id", "th", F.col("at").alias("lo"), F.col("at").alias("hi")))
 
 
 def spans(covered: DataFrame) -> DataFrame:

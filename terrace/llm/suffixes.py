@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, stored
-from .repeats import MOST, Found, Shape, cover, find, hashed_windows, keyed, removed, runs_of, with_texts
+from .common import Rolling, shared_folder, stored
+from .repeats import MOST, Found, Shape, cover, crowded_windows, find, keyed, removed, runs_of, with_texts
 
 LENGTH, CORE = 200, 64
 #: Suffixes a shard has, about; and those a task sorts at a time.
-SHARD, RUN = 20_000, 20_000
+SHARD, RUN = 5_000, 20_000
+#: Groups of more suffixes than this compare their windows by 128-bit hashes in arrays, smaller ones byte by byte.
+BYTEWISE = 200
 
 
 def common(a: bytes, b: bytes, known: int = 0) -> int:
@@ -164,26 +166,45 @@ def settle(group: list[tuple[int, bytes, tuple]], length: int) -> Iterator[tuple
         return
     n = len(group)
     right = [max(group[i][0] if i else 0, group[i + 1][0] if i + 1 < n else 0) for i in range(n)]
-    seen: dict[bytes, int] = {}
-    windows, done = [], set()
+    held, done = [], set()
     for (_, suffix, (left, _, context, name, th, lo)), agree in zip(group, right):
-        if context in done:
-            continue
-        done.add(context)
-        whole, a = left + suffix, len(left)
-        last = len(whole) - length
         # A window that starts at s has `length - (a - s)` bytes from the core on, which another suffix must share.
-        starts = range(0, min(last, agree + a - length) + 1)
-        own = [whole[s : s + length] for s in starts]
-        weight = 1 if lo >= 0 else 2
-        for w in own:
-            seen[w] = seen.get(w, 0) + weight
+        last = min(len(left) + len(suffix) - length, agree + len(left) - length)
+        if context not in done and last >= 0:
+            held.append((left + suffix, last + 1, name, th, lo))
+        done.add(context)
+    for (_, _, name, th, lo), again in zip(held, _repeated(held, length)):
         if lo >= 0:
-            windows.append((name, th, lo, starts, own))
-    for name, th, lo, starts, own in windows:
-        again = np.array([s for s, w in zip(starts, own) if seen[w] > 1], np.int64)
-        for a, b in runs_of(again):
-            yield name, th, lo + a, lo + b
+            for a, b in runs_of(again):
+                yield name, th, lo + a, lo + b
+
+
+def _repeated(held: list[tuple], length: int) -> Iterator[np.ndarray]:
+    """For each (text, windows, .., .., lo): places of windows that occur again in the texts. lo < 0: the text itself does."""
+    if len(held) <= BYTEWISE:
+        seen: dict[bytes, int] = {}
+        for text, n, *_, lo in held:
+            for s in range(n):
+                w = text[s : s + length]
+                seen[w] = seen.get(w, 0) + (1 if lo >= 0 else 2)
+        for text, n, *_ in held:
+            yield np.array([s for s in range(n) if seen[text[s : s + length]] > 1], np.int64)
+        return
+    data = np.frombuffer(b"".join(x[0] for x in held), np.uint8)
+    n = np.array([x[1] for x in held])
+    begin = np.cumsum([0] + [len(x[0]) for x in held[:-1]])
+    first = np.cumsum(n) - n
+    at = np.arange(n.sum()) - np.repeat(first, n) + np.repeat(begin, n)
+    one, two = (Rolling(data, seed).between(at, at + length) for seed in (1, 2))
+    order = np.lexsort((two, one))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)
+    which = np.cumsum(new) - 1
+    weight = np.repeat(np.array([1 if x[4] >= 0 else 2 for x in held]), n)
+    again = np.empty(len(order), bool)
+    again[order] = (np.bincount(which, weight[order]) > 1)[which]
+    for a, k in zip(first.tolist(), n.tolist()):
+        yield np.flatnonzero(again[a : a + k])
 
 
 COVERED = "id long, th long, lo int, hi int"
@@ -218,9 +239,7 @@ def repeated_windows(rows: DataFrame, shape: Shape, folder: str, most: int = MOS
     merged = merged_shards(stored(sorted_runs(with_texts(usual, rows), shape, shards), f"{folder}/runs"), shape, shards)
     covered = settled.union(merged)
     if not crowded.isEmpty():
-        windows = stored(hashed_windows(with_texts(crowded, rows), shape), f"{folder}/windows")
-        twice = stored(windows.groupBy("wa", "wb").agg(F.sum("many").alias("total")).where("total > 1").select("wa", "wb"), f"{folder}/twice")
-        covered = covered.union(windows.where("many = 1").join(twice, ["wa", "wb"]).select("id", "th", F.col("at").alias("lo"), F.col("at").alias("hi")))
+        covered = covered.union(crowded_windows(crowded, rows, shape, folder, earlier=False))
     return stored(covered, f"{folder}/covered")
 
 
@@ -245,3 +264,25 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, core: int = CORE, folder:
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE_SQL = {
+    "op6_suffix_dedup": r"""
+WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+places AS (SELECT doc_id, b, unnest(range(1, octet_length(b) - 198)) AS s FROM docs WHERE octet_length(b) >= 200),
+windows AS (SELECT doc_id, s, array_slice(b, s, s + 199) AS x FROM places),
+again AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY x) AS n FROM windows) WHERE n > 1),
+cut AS (SELECT doc_id, s, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 200 THEN 1 ELSE 0 END AS fresh FROM again),
+islands AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM cut),
+runs AS (SELECT doc_id, min(s) AS a, max(s) + 199 AS z FROM islands GROUP BY doc_id, island),
+gaps AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+kept AS (
+  SELECT g.doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans, max(z) AS last,
+    string_agg(CASE WHEN a > before + 1 THEN hex(array_slice(d.b, before + 1, a - 1)) ELSE '' END, '' ORDER BY a) AS rest
+  FROM gaps g JOIN docs d ON d.doc_id = g.doc_id GROUP BY g.doc_id)
+SELECT d.doc_id, octet_length(d.b)::BIGINT AS n_bytes, coalesce(k.n_removed, 0)::BIGINT AS n_removed, coalesce(k.n_spans, 0)::BIGINT AS n_spans,
+  CASE WHEN k.doc_id IS NULL THEN sha256(d.b)
+       ELSE sha256(unhex(k.rest || CASE WHEN k.last < octet_length(d.b) THEN hex(array_slice(d.b, k.last + 1, octet_length(d.b))) ELSE '' END)) END AS kept_sha256
+FROM docs d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+}

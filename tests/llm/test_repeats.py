@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from terrace.llm import phrases
+from terrace.llm import phrases, suffixes
 from terrace.llm.minhash import near_duplicates, shingle_sets, signatures
 from terrace.llm.suffixes import common, dedup_bytes, merge_runs, read_run, write_run
 
@@ -74,7 +74,9 @@ def drawn(seed, n=60):
 
 
 @pytest.mark.parametrize("most", [1000, 2])
-def test_suffix_dedup_is_exact(spark, most):
+@pytest.mark.parametrize("bytewise", [200, 0])
+def test_suffix_dedup_is_exact(spark, most, bytewise, monkeypatch):
+    monkeypatch.setattr(suffixes, "BYTEWISE", bytewise)
     texts = drawn(1)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: tuple(r)[1:] for r in dedup_bytes(df, length=60, core=20, most=most).collect()}
@@ -89,6 +91,19 @@ def test_phrase_dedup_is_exact(spark, most):
     assert got == brute_words([(i, t.encode()) for i, t in enumerate(texts)], 10)
 
 
+@pytest.mark.parametrize("bytewise", [200, 0])
+def test_windows_that_occur_again(monkeypatch, bytewise):
+    monkeypatch.setattr(suffixes, "BYTEWISE", bytewise)
+    r = random.Random(4)
+    held = [(bytes(r.choice(b"ab") for _ in range(r.randint(5, 30))), r.randint(1, 5), 0, 0, r.choice([1, 1, -1])) for _ in range(40)]
+    held = [(t, min(n, len(t) - 4), a, b, lo) for t, n, a, b, lo in held]
+    seen = Counter()
+    for t, n, _, _, lo in held:
+        for s in range(n):
+            seen[t[s : s + 5]] += 1 if lo >= 0 else 2
+    assert [x.tolist() for x in suffixes._repeated(held, 5)] == [[s for s in range(n) if seen[t[s : s + 5]] > 1] for t, n, *_ in held]
+
+
 def test_edges_of_bytes(edges, nothing):
     got = Counter(tuple(r)[1:] for r in dedup_bytes(edges).collect())
     assert got == Counter(brute_bytes([(r[1] or "").encode() for r in edge_rows()], 200))
