@@ -176,7 +176,8 @@ def near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
             break
         links = links.union(more)
         tested = tested.union(fresh)
-        found = stored(components(links, f"{folder}/components{i}"), f"{folder}/labels{i}")
+        known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = stored(components(known.union(more), f"{folder}/components{i}"), f"{folder}/labels{i}")
     # Of each node's component; a copy has that of its node. An id whose rows have different texts ties their components.
     doubled = real.groupBy("doc_id").agg(F.min("set_a").alias("x"), F.max("set_a").alias("y")).where("x != y").limit(1)
     if not doubled.isEmpty():

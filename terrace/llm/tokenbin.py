@@ -54,33 +54,34 @@ def quantised(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
 def write_segment(ids: np.ndarray, names: list[int | None], lengths: np.ndarray, lanes: int = LANES, block: int = BLOCK, scale: int = SCALE) -> bytes:
     """One segment's bytes. ids: those of all its documents, one after another."""
     n = len(ids)
-    symbols, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    every = np.bincount(ids, minlength=1)  # ids are below the vocabulary's size
+    symbols = np.flatnonzero(every)
+    counts = every[symbols]
+    rank = np.zeros(len(every), np.int32)
+    rank[symbols] = np.arange(len(symbols), dtype=np.int32)
+    inverse = rank[ids]
     freq = quantised(counts, scale) if n else np.zeros(0, np.int64)
     first = np.concatenate([[0], np.cumsum(freq)[:-1]]) if n else freq
     blocks = -(-n // block)
     steps = block // lanes
     f, c = freq.astype(np.uint64), first.astype(np.uint64)
-    grid = np.full(blocks * block, -1, np.int64)
+    grid = np.full(blocks * block, -1, np.int32)
     grid[:n] = inverse
-    grid = grid.reshape(blocks, steps, lanes).transpose(1, 0, 2).reshape(steps, blocks * lanes)
+    grid = np.ascontiguousarray(grid.reshape(blocks, steps, lanes).transpose(1, 0, 2)).reshape(steps, blocks * lanes)
+    whole = n == blocks * block
     state = np.full(blocks * lanes, _LOW, np.uint64)
     shift, limit = np.uint64(scale), np.uint64(63 - scale)
     words, owners = [], []
     of = np.repeat(np.arange(blocks), lanes)
     for t in range(steps - 1, -1, -1):
         s = grid[t]
-        live = s >= 0
-        if not live.all():
-            on = np.flatnonzero(live)
-            if not len(on):
-                continue
-        else:
-            on = slice(None)
+        on = slice(None) if whole else np.flatnonzero(s >= 0)
+        if not whole and not len(on):
+            continue
         k, x = s[on], state[on]
         fk = f[k]
-        over = x >= (fk << limit)
-        if over.any():
-            at = np.flatnonzero(over)
+        at = np.flatnonzero(x >= (fk << limit))
+        if len(at):
             words.append((x[at] & np.uint64(0xFFFFFFFF)).astype("<u4"))
             owners.append(of[on][at])
             x[at] >>= np.uint64(32)
@@ -143,22 +144,30 @@ class Segment:
         f, c = self.freq.astype(np.uint64), first.astype(np.uint64)
         mask, shift = np.uint64((1 << self.scale) - 1), np.uint64(self.scale)
         steps, lane = self.block // self.lanes, np.arange(self.lanes)
-        out = np.empty((len(picked), steps, self.lanes), np.int32)
+        out = np.empty((steps, len(picked), self.lanes), np.int32)
+        words = self.words.astype(np.uint64) if len(self.words) else np.zeros(1, np.uint64)
+        left = picked[:, :1] - lane[None, :]  # a lane is done once step * lanes reaches this
+        full = int(left.min()) // self.lanes if len(picked) else 0
         for t in range(steps):
-            live = (t * self.lanes + lane)[None, :] < picked[:, :1]
-            if not live.any():
-                break
             low = state & mask
             k = slot[low]
-            out[:, t] = k
+            out[t] = k
             x = f[k] * (state >> shift) + low - c[k]
-            need = live & (x < _LOW)
+            need = x < _LOW
+            if t >= full:
+                live = left > t * self.lanes
+                if not live.any():
+                    break
+                need &= live
+                x = np.where(live, x, state)
             nth = np.cumsum(need, axis=1)
-            where = np.minimum(at[:, None] + nth - 1, len(self.words) - 1)
-            x = np.where(need, (x << np.uint64(32)) | self.words[where].astype(np.uint64), x) if len(self.words) else x
-            state = np.where(live, x, state)
-            at += nth[:, -1]
-        ids = self.symbols[np.concatenate([out[i].ravel()[: picked[i, 0]] for i in range(len(picked))])]
+            nth += at[:, None] - 1
+            rows, lanes = np.nonzero(need)
+            x[rows, lanes] = (x[rows, lanes] << np.uint64(32)) | words[nth[rows, lanes]]
+            at = nth[:, -1] + 1
+            state = x
+        out = out.transpose(1, 0, 2).reshape(len(picked), -1)
+        ids = self.symbols[np.concatenate([out[i, : picked[i, 0]] for i in range(len(picked))])]
         begin = 0
         for n, _, check in picked.tolist():
             if crc(ids[begin : begin + n].astype("<u4").tobytes()) != check:
@@ -210,11 +219,11 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None, end_id
     return stored(ordered.mapInArrow(run, SEGMENTS), out, "uncompressed")
 
 
-def read_token_files(segments: DataFrame) -> DataFrame:
-    """Per document: doc_id, start, n_tokens, ids_crc32, ids (int array), decoded from the segments."""
+def read_token_files(segments: DataFrame, with_ids: bool = True) -> DataFrame:
+    """Per document: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (int array), decoded from the segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("doc_id", pa.int64()), ("local", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
+        schema = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("doc_id", pa.int64()), ("local", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), *[("ids", pa.list_(pa.int32()))] * with_ids])
         for batch in batches:
             for part, number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 seg = Segment(data.as_py())
@@ -224,19 +233,19 @@ def read_token_files(segments: DataFrame) -> DataFrame:
                 for at in range(0, len(ends), 500):
                     s, e = starts[at : at + 500], ends[at : at + 500]
                     m = len(s)
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([s, e[-1:]]) - s[0], pa.int32()), pa.array(ids[s[0] : e[-1]].astype(np.int32)))
+                    lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([s, e[-1:]]) - s[0], pa.int32()), pa.array(ids[s[0] : e[-1]].astype(np.int32)))] if with_ids else []
                     sums = [crc(ids[a:b].tobytes()) for a, b in zip(s.tolist(), e.tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array([part] * m, pa.int32()), pa.array([number] * m, pa.int32()), pa.array(seg.names[at : at + 500], pa.int64()), pa.array(s), pa.array(e - s), pa.array(sums, pa.int64()), lists], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array([part] * m, pa.int32()), pa.array([number] * m, pa.int32()), pa.array(seg.names[at : at + 500], pa.int64()), pa.array(s), pa.array(e - s), pa.array(sums, pa.int64()), *lists], schema=schema)
 
-    rows = segments.select("part", "segment", "data").mapInArrow(run, "part int, segment int, doc_id long, local long, n_tokens long, ids_crc32 long, ids array<int>")
+    rows = segments.select("part", "segment", "data").mapInArrow(run, "part int, segment int, doc_id long, local long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
     sizes = segments.groupBy("part").agg(F.sum("ids").alias("n"))  # a row for each written partition
     parts = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     base = segments.select("part", "segment", F.coalesce(F.sum("ids").over(inside), F.lit(0)).alias("earlier")).join(parts.select("part", "before"), "part")
     joined = rows.join(base, ["part", "segment"])
-    return joined.select("doc_id", (F.col("before") + F.col("earlier") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    return joined.select("doc_id", (F.col("before") + F.col("earlier") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_folder(spark)}/ids")
-    return read_token_files(segments).drop("ids")
+    return read_token_files(segments, with_ids=False)
