@@ -83,8 +83,10 @@ def contains(a: Shape, b: Shape) -> Column:
         covered = F.exists(a.edges, lambda e: on_edge(e, b["x"], b["y"]))
     if a.kind == "line":
         return gate & covered
-    within_rings = F.forall(b.vertices, lambda v: inside(a.edges, v["x"], v["y"]))
-    if b.kind != "point":
+    if b.kind == "point":
+        within_rings = inside(a.edges, b["x"], b["y"])
+    else:
+        within_rings = F.forall(b.vertices, lambda v: inside(a.edges, v["x"], v["y"]))
         within_rings = within_rings & ~F.exists(b.edges, lambda f: F.exists(a.edges, lambda e: edges_meet(e, f)))
         if b.kind == "multi":  # no hole of a inside b
             within_rings = within_rings & ~(b.is_polygon & F.exists(a.vertices, lambda v: inside(b.edges, v["x"], v["y"])))

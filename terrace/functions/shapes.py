@@ -7,6 +7,7 @@ structs is folded away by Catalyst, so range filters over points reach Parquet s
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -169,6 +170,11 @@ def multis(name: Column | str) -> Shape:
     return Shape(as_column(name), "multi")
 
 
+def bound(c: Column, made: Callable[[Column], Column]) -> Column:
+    """made(c), with c evaluated once and outside of made's lambdas, where Spark allows no Python UDF (buffers are made by one)."""
+    return F.get(F.transform(F.array(c), made), F.lit(0))
+
+
 def edges(s: Shape) -> Column:
     c = s.col
 
@@ -179,11 +185,15 @@ def edges(s: Shape) -> Column:
         return F.array(edge(c["startX"], c["startY"], c["endX"], c["endY"]))
     if s.kind == "point":
         return F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
-    x, y, first = c["xcoordinates"], c["ycoordinates"], c["indices"]
-    n = F.size(x)
-    # One vertex alone is an edge of no length, so that a polyline of one vertex can be met.
-    inner = F.filter(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: (n == 1) | ~F.array_contains(first, i + 1))
-    return F.transform(inner, lambda i: edge(F.get(x, i), F.get(y, i), F.get(x, F.least(i + 1, n - 1)), F.get(y, F.least(i + 1, n - 1))))
+
+    def cut(m: Column) -> Column:
+        x, y, first = m["xcoordinates"], m["ycoordinates"], m["indices"]
+        n = F.size(x)
+        # One vertex alone is an edge of no length, so that a polyline of one vertex can be met.
+        inner = F.filter(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: (n == 1) | ~F.array_contains(first, i + 1))
+        return F.transform(inner, lambda i: edge(F.get(x, i), F.get(y, i), F.get(x, F.least(i + 1, n - 1)), F.get(y, F.least(i + 1, n - 1))))
+
+    return bound(c, cut)
 
 
 # Accessors.
@@ -235,9 +245,13 @@ def is_valid(s: Shape) -> Column:
     """Not null; the rings of polygons are closed."""
     if s.kind != "multi":
         return s.col.isNotNull()
-    x, y, first = s["xcoordinates"], s["ycoordinates"], s["indices"]
-    ends = F.concat(F.slice(first, 2, F.greatest(F.size(first) - 1, F.lit(0))), F.array(F.size(x)))
-    closed = F.forall(F.arrays_zip(first.alias("a"), ends.alias("z")), lambda r: (F.get(x, r["a"]) == F.get(x, r["z"] - 1)) & (F.get(y, r["a"]) == F.get(y, r["z"] - 1)))
+
+    def rings_closed(m: Column) -> Column:
+        x, y, first = m["xcoordinates"], m["ycoordinates"], m["indices"]
+        ends = F.concat(F.slice(first, 2, F.greatest(F.size(first) - 1, F.lit(0))), F.array(F.size(x)))
+        return F.forall(F.arrays_zip(first.alias("a"), ends.alias("z")), lambda r: (F.get(x, r["a"]) == F.get(x, r["z"] - 1)) & (F.get(y, r["a"]) == F.get(y, r["z"] - 1)))
+
+    closed = bound(s.col, rings_closed)
     return F.coalesce(s.col.isNotNull() & ((s["type"] != POLYGON) | closed), F.lit(False))
 
 
