@@ -14,6 +14,8 @@ import numpy as np
 
 #: Entries of a worker's piece table; beyond it the table starts anew, so its memory is bounded.
 TABLE_ENTRIES = 1_000_000
+#: Texts are cut and looked up in groups of about so many characters.
+GROUP_CHARS = 1_000_000
 #: Characters on whose class Unicode versions differ; texts with one are encoded whole.
 _DOUBTFUL = "\u180e\u200b\u2060\ufeff\0"
 _KEPT: dict[str, Encoder] = {}
@@ -54,10 +56,10 @@ class Encoder:
 
     def _learn(self, missing: list[str]) -> None:
         """Encodes pieces, many in one call, parted by line feeds."""
-        step = 2000
+        step = 200
         for i in range(0, len(missing), step):
             some = missing[i : i + step]
-            ids = np.array(self.library.encode("\n".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.library.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")  # no offsets
             cuts = np.flatnonzero(ids == self.line_id)
             if len(cuts) != len(some) - 1:
                 for x in some:
@@ -99,21 +101,25 @@ class Encoder:
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         out: list[bytes] = []
+        some: list[str] = []
+        size = 0
         for text in texts:
-            found = self.cut(text) if text else []
-            if found is None:
-                out.append(self.whole(text))
-                continue
-            table = self.table
-            try:
-                out.append(b"".join([table[x] for x in found]))
-            except KeyError:
-                missing = {x for x in found if x not in table}
-                if len(table) > TABLE_ENTRIES:
-                    missing = set(found)
-                self.learn(missing)
-                out.append(b"".join([table[x] for x in found]))
-        return out
+            some.append(text)
+            size += len(text)
+            if size >= GROUP_CHARS:
+                out += self._group(some)
+                some, size = [], 0
+        return out + self._group(some)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        """Learns the new pieces of several texts in one go."""
+        cuts = [self.cut(text) if text else [] for text in texts]
+        every: set[str] = set().union(*[found for found in cuts if found])
+        table = self.table
+        missing = every.difference(table)
+        if missing:
+            self.learn(every if len(table) > TABLE_ENTRIES else missing)
+        return [self.whole(text) if found is None else b"".join(map(table.__getitem__, found)) for text, found in zip(texts, cuts)]
 
 
 def crc(ids: bytes) -> int:
