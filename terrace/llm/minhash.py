@@ -4,8 +4,11 @@ A document's set is its distinct 5-word shingles (A-Z in lower case). One hash o
 rank; empty bins borrow by optimal densification (a fixed random order of donor bins for each bin). Bands of bins name
 buckets. Documents of equal sets are one node, so copies cost nothing more. In a bucket, candidate links form a star
 around its least document: as many links as members, however large the bucket. Where a bucket still holds several
-components after that, its members of different components are paired, if they are few, or linked to another centre,
-twice. Every candidate is confirmed on the full sets, and components are joined in Spark.
+components after that, its members of different components are paired, if they are few, or linked to another centre.
+Members of crowded buckets that hold several components even then meet by a prefix filter: of each set, in one order of
+all shingles, the first quarter and one more; sets with a similarity of 0.75 share one of these. The order begins with
+rare shingles, so a passage that very many documents hold brings those together that hold little else. Every candidate is
+confirmed on the full sets, and components are joined in Spark.
 
 With 32 bands of 4 bins a pair of similarity 0.75 shares no bucket with a chance of about 5 in a million.
 
@@ -29,6 +32,8 @@ SHINGLE, PERCENT, BANDS, ROWS = 5, 75, 32, 4
 BINS = BANDS * ROWS
 #: Buckets of at most so many members are paired in full where stars leave several components.
 FEW = 32
+#: log2 of the slots that count shingles of crowded documents; their order, not what is found, depends on it.
+SLOT_BITS = 22
 _EMPTY = np.iinfo(np.uint64).max
 
 
@@ -134,6 +139,73 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "ath", "b", "bth", "atext", "btext").mapInArrow(run, "a long, b long")
 
 
+def shingle_tally(texts: DataFrame) -> np.ndarray:
+    """How many of the texts hold the shingles of each slot: never less than hold one of its shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in parts(batch.column(0)):
+                for s in shingle_sets(data, offsets):
+                    np.add.at(tally, _slots(s), 1)
+        slots = np.flatnonzero(tally)
+        for at in range(0, len(slots), 100_000):
+            some = slots[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(tally[some])], names=["slot", "n"])
+
+    rows = texts.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << SLOT_BITS, np.int64)
+    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def _slots(s: np.ndarray) -> np.ndarray:
+    return (mix(s) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def prefixes(texts: DataFrame) -> DataFrame:
+    """shingle, id, th, component, n (shingles of the set), at (place in the order) of each set's prefix. texts: id, th, component, text.
+
+    Shingles that no other set holds are left out.
+    """
+    held = texts.sparkSession.sparkContext.broadcast(shingle_tally(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = held.value
+        for batch in batches:
+            for a, b, data, offsets in parts(batch.column(3)):
+                found, places, rows, sizes = [], [], [], []
+                for i, s in enumerate(shingle_sets(data, offsets)):
+                    often = tally[_slots(s)]
+                    first = np.lexsort((s, often))[: len(s) * (100 - PERCENT) // 100 + 1]
+                    at = np.flatnonzero(often[first] > 1)
+                    found.append(s[first[at]])
+                    places.append(at)
+                    rows.append(np.full(len(at), a + i))
+                    sizes.append(np.full(len(at), len(s)))
+                rows = pa.array(np.concatenate(rows))
+                columns = [pa.array(np.concatenate(found).astype(np.int64)), *[c.take(rows) for c in batch.columns[:3]], pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))]
+                yield pa.RecordBatch.from_arrays(columns, names=["shingle", "id", "th", "component", "n", "at"])
+
+    return texts.select("id", "th", "component", "text").mapInArrow(run, "shingle long, id long, th long, component long, n long, at long")
+
+
+def prefix_pairs(texts: DataFrame, folder: str) -> DataFrame:
+    """Pairs (a, ath, b, bth) of different components: all that can have a similarity of PERCENT or more, and some others."""
+    rows = stored(prefixes(texts), f"{folder}/prefixes")
+    # Where one component has most of a shingle's sets, these are never paired with each other.
+    each = rows.groupBy("shingle", "component").agg(F.count("*").alias("n"))
+    main = each.groupBy("shingle").agg(F.count("*").alias("k"), F.max(F.struct("n", "component"))["component"].alias("main")).where("k > 1")
+    mixed = stored(rows.join(main.select("shingle", "main"), "shingle"), f"{folder}/mixed")
+    left = mixed.where("component != main").select("shingle", F.col("id").alias("a"), F.col("th").alias("ath"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    right = mixed.select("shingle", F.col("id").alias("b"), F.col("th").alias("bth"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("pb"), (F.col("component") == F.col("main")).alias("lead"))
+    # At their first common shingle two sets can't share more than what is left of either.
+    shared = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    enough = (100 + PERCENT) * shared >= PERCENT * (F.col("na") + F.col("nb"))
+    pairs = left.join(right, "shingle").where((F.col("ca") != F.col("cb")) & (F.col("lead") | (F.col("a") > F.col("b"))) & enough)
+    return pairs.select("a", "ath", "b", "bth").distinct()
+
+
 def near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     folder = folder or shared_folder(docs.sparkSession)
@@ -155,29 +227,39 @@ def near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
     copies = rows.select("doc_id", *name).join(nodes.select(*name, "id"), name).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a != b").distinct()
     links = stored(confirmed(pairs, texts), f"{folder}/links0")
     found = stored(components(links, f"{folder}/components0"), f"{folder}/labels0")
-    tested = pairs
-    for i in (1, 2):
-        own = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        own = stored(own.select("bucket", "n", "id", "th", "component"), f"{folder}/own{i}")
-        split = own.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("id", F.lit(i)), "id", "th", "component")).alias("c")).where("low != high")
-        split = stored(split.select("bucket", F.col("c.id").alias("b"), F.col("c.th").alias("bth"), F.col("c.component").alias("of")), f"{folder}/split{i}")
-        open_ = own.join(split, "bucket")
-        star = open_.where((F.col("n") > FEW) & (F.col("component") != F.col("of"))).select(F.col("id").alias("a"), F.col("th").alias("ath"), "b", "bth")
-        few = stored(open_.where(F.col("n") <= FEW).select("bucket", "id", "th", "component"), f"{folder}/few{i}")
-        left, right = few.select("bucket", F.col("id").alias("a"), F.col("th").alias("ath"), F.col("component").alias("ca")), few.select("bucket", F.col("id").alias("b"), F.col("th").alias("bth"), F.col("component").alias("cb"))
-        mixed = left.join(right, "bucket").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb"))).drop("bucket", "ca", "cb")
+    own = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    own = stored(own.select("bucket", "n", "id", "th", "component"), f"{folder}/own1")
+    split = own.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("id", F.lit(1)), "id", "th", "component")).alias("c")).where("low != high")
+    split = stored(split.select("bucket", F.col("c.id").alias("b"), F.col("c.th").alias("bth"), F.col("c.component").alias("of")), f"{folder}/split1")
+    open_ = own.join(split, "bucket")
+    star = open_.where((F.col("n") > FEW) & (F.col("component") != F.col("of"))).select(F.col("id").alias("a"), F.col("th").alias("ath"), "b", "bth")
+    few = stored(open_.where(F.col("n") <= FEW).select("bucket", "id", "th", "component"), f"{folder}/few1")
+    left, right = few.select("bucket", F.col("id").alias("a"), F.col("th").alias("ath"), F.col("component").alias("ca")), few.select("bucket", F.col("id").alias("b"), F.col("th").alias("bth"), F.col("component").alias("cb"))
+    mixed = left.join(right, "bucket").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb"))).drop("bucket", "ca", "cb")
+
+    def untested(some: DataFrame, tested: DataFrame) -> DataFrame:
         # A star around another centre may name a pair the other way round.
-        fresh = star.union(mixed.select("a", "ath", "b", "bth")).distinct().join(tested.union(tested.select("b", "bth", "a", "ath")), ["a", "ath", "b", "bth"], "left_anti")
-        fresh = stored(fresh, f"{folder}/pairs{i}")
-        if fresh.isEmpty():
-            break
-        more = stored(confirmed(fresh, texts), f"{folder}/links{i}")
-        if more.isEmpty():
-            break
-        links = links.union(more)
-        tested = tested.union(fresh)
+        return some.join(tested.union(tested.select("b", "bth", "a", "ath")), ["a", "ath", "b", "bth"], "left_anti")
+
+    def joined(more: DataFrame, i: int) -> DataFrame:
         known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        found = stored(components(known.union(more), f"{folder}/components{i}"), f"{folder}/labels{i}")
+        return stored(components(known.union(more), f"{folder}/components{i}"), f"{folder}/labels{i}")
+
+    fresh = stored(untested(star.union(mixed.select("a", "ath", "b", "bth")).distinct(), pairs), f"{folder}/pairs1")
+    more = stored(confirmed(fresh, texts), f"{folder}/links1")
+    if not more.isEmpty():
+        links, found = links.union(more), joined(more, 1)
+    # Few members are paired in full by now; crowded buckets that still hold several components are searched exactly.
+    crowded = own.where(F.col("n") > FEW).drop("component").join(split.select("bucket"), "bucket", "left_semi").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    crowded = stored(crowded.select("bucket", "id", "th", "component"), f"{folder}/crowded")
+    several = crowded.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
+    sought = stored(crowded.join(several, "bucket", "left_semi").select("id", "th", "component").distinct(), f"{folder}/sought")
+    if not sought.isEmpty():
+        wanted = stored(texts.join(sought, ["id", "th"]), f"{folder}/wanted")
+        last = stored(untested(prefix_pairs(wanted, folder), pairs.union(fresh)), f"{folder}/pairs2")
+        more = stored(confirmed(last, texts), f"{folder}/links2")
+        if not more.isEmpty():
+            links, found = links.union(more), joined(more, 2)
     # Of each node's component; a copy has that of its node. An id whose rows have different texts ties their components.
     doubled = real.groupBy("doc_id").agg(F.min("set_a").alias("x"), F.max("set_a").alias("y")).where("x != y").limit(1)
     if not doubled.isEmpty():

@@ -176,6 +176,33 @@ def test_near_duplicates_in_crowded_buckets(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_short_near_duplicates_among_many_long_holders_of_their_passage(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from terrace.llm import minhash
+
+    monkeypatch.setattr(minhash, "FEW", 3)
+    # Ids that no hash order of a bucket names first.
+    late = [F.xxhash64("id", F.lit(i)) > 2**62 for i in (1, 2)]
+    ids = [r.id for r in spark.range(2000, 3000).where(late[0] & late[1]).orderBy("id").limit(5).collect()]
+    base = prose(78, 120)
+    short = [(i, base + " " + prose(9000 + i, 5)) for i in ids]
+    rows = [(i, base + " " + prose(4000 + i, 48)) for i in range(300)] + short
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert brute_components(short) == Counter((i, 121, ids[0], i == ids[0]) for i in ids)
+    assert got == {i: min(i, ids[0]) for i, _ in rows}
+
+
+def test_prefixes_name_every_near_pair(spark, tmp_path):
+    from terrace.llm import minhash
+
+    rows = near_rows(3)
+    texts = spark.createDataFrame([(i, 0, i, t) for i, t in rows], "id long, th long, component long, text string")
+    got = {tuple(sorted((r.a, r.b))) for r in minhash.prefix_pairs(texts, str(tmp_path)).collect()}
+    sets = {i: set(shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0].tolist()) for i, t in rows}
+    near = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert near <= got and len(near) > 50
+
+
 def test_edges_of_near_duplicates(edges, nothing, spark):
     named = [(r[0], r[1]) for r in edge_rows() if r[0] is not None]
     got = near_duplicates(edges).collect()
