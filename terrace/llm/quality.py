@@ -8,7 +8,7 @@ n-grams that share a hash share their mean, weighted by count.
 
 A document's perplexity is per byte. For each language, the quartiles of the log perplexity over all documents that pass
 the base rules give a band, `reach` interquartile ranges beyond the quartiles (and at least MARGIN); what lies outside,
-above or below, is rejected.
+above or below, is rejected. Three ranges are Tukey's outer fences, beyond which he calls values far out.
 
 Null texts have no words; they and empty texts have a null perplexity and fail the base rules. A null lang is a language
 of its own. Rows that repeat, or repeat an id, are each scored (and counted); other columns are ignored.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import mix, parts, shared_folder, stored
 
-ORDER, HASH_BITS, REACH, MARGIN = 4, 22, 6.0, 0.1
+ORDER, HASH_BITS, REACH, MARGIN = 4, 22, 3.0, 0.1
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
 

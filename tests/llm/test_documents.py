@@ -111,6 +111,13 @@ def test_model_and_bands(spark):
     assert all(got[i].kept == (not got[i].base_failed) for i in range(60))
 
 
+def test_bands_reject_table_junk_near_the_clean_texts(spark):
+    junk = [(1000 + e, " ".join(x + " |" * (k % e == 0) for k, x in enumerate(prose(5000 + e, 80).split())), "en") for e in (2, 3, 4, 5, 6, 8, 10, 14, 20)]
+    df = spark.createDataFrame([(i, prose(i, 80), "en") for i in range(200)] + junk, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in quality.quality(df).where("kept").select("doc_id").collect()}
+    assert kept >= set(range(200)) and 1002 not in kept
+
+
 def brute_lines(rows, sites, share):
     has = lambda x: bool(WORD.search(x))
     once = {}
