@@ -24,6 +24,7 @@ PREDICATES: dict[str, Callable[[Shape, Shape], Column]] = {
     "within": predicates.within,
     "contains": predicates.contains,
     "intersects": predicates.intersects,
+    "intersects_strict": lambda a, b: predicates.intersects(a, b, strict=True),
     "covers": predicates.covers,
 }
 HOW = ("inner", "left", "right", "full", "left_semi", "left_anti")

@@ -143,3 +143,15 @@ def test_buffers(value):
     assert value(P.within(pt(4.5, 4.5), holed), P.within(pt(3.3, 4), holed), P.within(pt(-0.4, 4), holed), P.within(pt(-0.6, 4), holed), num_rings(holed)) == [False, True, True, False, 2]
     assert value(circle(0, 0, 1)["xmax"])[0] == pytest.approx(1) and math.isclose(value(buffer(seg((0, 0), (2, 0)), 1.0)["ymax"])[0], 1, abs_tol=0.01)
     assert value(lines(line(0, 0, 1, 1))["xmax"], points(point(1, 2))["y"], ring((0, 0), (1, 0), (0, 0))["xmax"]) == [1.0, 2.0, 1.0]
+
+
+def test_strict_intersection_over_all_orders(spark):
+    from terrace.plans import catalogue
+    from terrace.plans.inputs import nations, segments
+
+    d = "/root/testdata/sf0.001"
+    crossed = segments(spark, d).join(nations(spark, d), P.intersects(Shape(F.col("segment"), "line"), multis("diamond"), strict=True))
+    every = {tuple(r) for r in crossed.select("o_orderkey", "n_nationkey").collect()}
+    rows = catalogue.queries()["intersects_strict_all"](spark, d).collect()
+    assert {tuple(r) for r in rows} == every and len(rows) == len(every) > 0
+    assert {tuple(r) for r in catalogue.queries()["intersects_strict"](spark, d).collect()} == {x for x in every if x[0] < 4000}
