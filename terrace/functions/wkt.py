@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .shapes import Shape, as_column, point, polygon, polyline
 
-_NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)"
+_NUMBER = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 _PAIR = rf"{_NUMBER}\s+{_NUMBER}"
 _LIST = rf"\(\s*{_PAIR}(?:\s*,\s*{_PAIR})*\s*\)"
 _POINT = rf"^\s*POINT\s*\(\s*({_NUMBER})\s+({_NUMBER})\s*\)\s*$"

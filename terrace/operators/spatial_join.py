@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grid, predicates
 from ..functions.shapes import WORLD, Box, Shape
+from .shared import checkpoint_dir
 
 PREDICATES: dict[str, Callable[[Shape, Shape], Column]] = {
     "within": predicates.within,
@@ -109,11 +110,9 @@ def spatial_join(
     def numbered(df: DataFrame, key: list[str] | None, name: str) -> DataFrame:
         if key:
             return df.withColumn(name, F.struct(*key))
-        spark = df.sparkSession
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terrace-"))
+        context = df.sparkSession.sparkContext
+        if not context._jsc.sc().getCheckpointDir().isDefined():
+            context.setCheckpointDir(checkpoint_dir(df.sparkSession))
         return df.withColumn(name, F.monotonically_increasing_id()).checkpoint()
 
     needs_right = how in ("right", "full")
