@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .tokens import Encoder, tokenizer_path
 
 RULES = ("start", "majority", "fraction")
@@ -104,6 +105,7 @@ def count_tokens(docs: DataFrame, sections: str | None = None, rule: str = "star
                     out[6] += [len(spans)] * last
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, schema.types)], schema=schema)
 
+    small_batches(docs.sparkSession)
     picked = [F.col("doc_id").cast("long"), F.col("text").cast("string")] + ([F.col(sections)] if sections else [])
     return docs.select(*picked).mapInArrow(run, RESULT)
 

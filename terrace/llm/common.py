@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import checkpoint_dir
+
 #: ASCII white space as the word rule has it: the space and the characters 9 to 13.
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -17,18 +19,35 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-SLICE_BYTES = 2 << 20
+#: Bytes of text that a worker handles at a time: its arrays have 8 bytes for each, several times over.
+SLICE_BYTES = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share. Set only where it is unset (tests)."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not top:
-        import tempfile
+    """A new folder under spark.checkpoint.dir, which driver and executors share."""
+    return f"{checkpoint_dir(spark)}/terrace-{uuid.uuid4().hex}"
+
+
+#: Bytes of an Arrow batch between the JVM and Python, where the session has Spark's own 64 MB.
+BATCH_BYTES = 4 << 20
+
 
-        top = tempfile.mkdtemp(prefix="terrace-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/terrace-{uuid.uuid4().hex}"
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes: rows with texts are of any size. A session's own lower bound stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == f"{64 << 20}b":
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
+def private(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be in no column's way (letter case aside)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def stored(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
@@ -85,7 +104,7 @@ def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
             return np.multiply.accumulate(out)
 
         kept = series(base), series(pow(base, -1, 1 << 64))
-        if size <= 4 * SLICE_BYTES:
+        if size <= SLICE_BYTES + 1:  # a longer text's are made for it alone
             _POWERS[base] = kept
     return kept
 

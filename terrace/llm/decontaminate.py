@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, grams, mix, parts, words
+from .common import LOWER, Rolling, grams, mix, parts, private, small_batches, words
 
 SHINGLE, LEAST = 5, 0.75
 RADIUS, BLOCKS = 20, 4
@@ -202,6 +202,7 @@ def matches(hashes: np.ndarray, items: Items, least: float = LEAST) -> list[tupl
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, item_id, similarity, start_word: the best window for each document and item that match."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.count()
     groups = max(1, -(-total // BROADCAST_ITEMS))
@@ -243,8 +244,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """docs less those that hold a benchmark item. Rows without an id can't be named and stay."""
-    gone = contaminated(docs, benchmark, least).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    (name,) = private(docs.columns, "_gone")
+    gone = contaminated(docs, benchmark, least).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

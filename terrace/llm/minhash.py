@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, grams, mix, parts, shared_folder, stored, words
+from .common import LOWER, Rolling, grams, mix, parts, private, shared_folder, small_batches, stored, words
 from .graph import components
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 75, 32, 4
 BINS = BANDS * ROWS
 #: Buckets of at most so many members are paired in full where stars leave several components.
 FEW = 32
+#: Members of a centre that are compared in one run.
+HUB = 2_000
 #: log2 of the slots that count shingles of crowded documents; their order, not what is found, depends on it.
 SLOT_BITS = 22
 _EMPTY = np.iinfo(np.uint64).max
@@ -106,37 +108,43 @@ def described(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "th", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, th long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, ath, b, bth) whose full sets have a similarity of PERCENT or more. texts: id, th, text."""
+    """a, b of the pairs (a, ath, b, bth) whose full sets have a similarity of PERCENT or more. texts: id, th, text.
+
+    A centre b and its members come to a task as one sorted run, the centre first, so a row has one text and a task holds
+    the centre's set and a member's. A centre of many members has several such runs, of about HUB members each.
+    """
+    near = ["b", "bth", "run"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[tuple[int, int], np.ndarray] = {}
+        centre, held = None, np.zeros(0, np.uint64)
         for batch in batches:
-            names = [x.to_pylist() for x in batch.columns[:4]]
+            keys = list(zip(*(c.to_pylist() for c in batch.columns[:3])))
+            own = batch.column(3).is_null().to_pylist()
             ok = np.zeros(batch.num_rows, bool)
-            at = 0
-            for a, b, data, offsets in parts(batch.column(4)):
-                left = shingle_sets(data, offsets)
-                for i in range(a, b):
-                    key = names[2][i], names[3][i]
-                    if key not in kept:
-                        if len(kept) >= 256:
-                            kept.clear()
-                        raw = (batch.column(5)[i].as_py() or "").encode()
-                        kept[key] = shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
-                    x, y = left[i - a], kept[key]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok[i] = 100 * both >= PERCENT * (len(x) + len(y) - both) and both > 0
-                at = b
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(ok))
-
-    first = pairs.join(texts.select(F.col("id").alias("a"), F.col("th").alias("ath"), F.col("text").alias("atext")), ["a", "ath"])
-    both = first.join(texts.select(F.col("id").alias("b"), F.col("th").alias("bth"), F.col("text").alias("btext")), ["b", "bth"])
-    return both.select("a", "ath", "b", "bth", "atext", "btext").mapInArrow(run, "a long, b long")
+            for first, _, data, offsets in parts(batch.column(4)):
+                for i, s in enumerate(shingle_sets(data, offsets), first):
+                    if own[i]:
+                        centre, held = keys[i], s
+                    elif keys[i] == centre:
+                        both = len(np.intersect1d(s, held, assume_unique=True))
+                        ok[i] = 100 * both >= PERCENT * (len(s) + len(held) - both) and both > 0
+            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(0)], names=["a", "b"]).filter(pa.array(ok))
+
+    runs = pairs.groupBy("b", "bth").agg(F.ceil(F.count("*") / HUB).cast("int").alias("runs"))
+    hubs = runs.where("runs > 1")  # at most one in HUB of the pairs
+    which = F.coalesce(F.pmod(F.xxhash64("a", "ath"), F.col("runs")).cast("int"), F.lit(0))
+    members = pairs.join(hubs, ["b", "bth"], "left").select("a", "ath", "b", "bth", which.alias("run"))
+    members = members.join(texts.select(F.col("id").alias("a"), F.col("th").alias("ath"), "text"), ["a", "ath"])
+    centres = runs.join(texts.select(F.col("id").alias("b"), F.col("th").alias("bth"), "text"), ["b", "bth"])
+    centres = centres.select("b", "bth", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(None).cast("long").alias("a"), "text")
+    rows = members.select(*near, "a", "text").unionByName(centres).repartition(*near).sortWithinPartitions(*near, F.col("a").asc_nulls_first())
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def shingle_tally(texts: DataFrame) -> np.ndarray:
@@ -275,8 +283,9 @@ def near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs less the rows that near_duplicates doesn't keep. Rows without an id stay."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    (name,) = private(docs.columns, "_gone")
+    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_binary, shared_folder, stored
+from .common import shared_folder, small_batches, stored
 from .tokens import Encoder, crc, tokenizer_path
 
 WIDTH = 2048
@@ -123,6 +123,7 @@ def encoded_pieces(docs: DataFrame, path: str, end_id: int, width: int) -> DataF
                         out.append((part, rank, name, start, n, crc(ids[4 * start : 4 * (start + n)]), total))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), schema.types)], schema=schema)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, parts, shared_folder, stored
+from .common import mix, parts, shared_folder, small_batches, stored
 
 ORDER, HASH_BITS, REACH, MARGIN = 4, 22, 3.0, 0.1
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -83,6 +83,7 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
         if keys:
             yield from rows(*merged())
 
+    small_batches(docs.sparkSession)
     cut = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string"))
     return cut.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 

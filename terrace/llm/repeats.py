@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, bitmap, grams, in_bitmap, mix, parts, sliding_min, stored, words
+from .common import Rolling, bitmap, grams, in_bitmap, mix, parts, sliding_min, small_batches, stored, words
 
 #: Contexts of a core that one task may hold: some 7 MB of text, and 50 MB of hashes of their windows.
 MOST = 20_000
@@ -115,6 +115,7 @@ def find(rows: DataFrame, shape: Shape, folder: str) -> Found:
                 _, _, _, core, context = shape.units(data, offsets)
                 yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(context.view(np.int64))], names=["core", "context"])
 
+    small_batches(rows.sparkSession)
     every = rows.select("text").mapInArrow(counted, "core long, context long")
     cores = every.groupBy("core").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("z")).where("n > 1")
     cores = stored(cores.select("core", (F.col("a") != F.col("z")).alias("branching")), f"{folder}/cores")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, stored
+from .common import shared_folder, small_batches, stored
 from .tokens import Encoder, crc, tokenizer_path
 
 LANES, BLOCK, SEGMENT, SCALE = 128, 1 << 16, 1 << 21, 20
@@ -187,6 +187,7 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None, end_id
     """
     spark = docs.sparkSession
     path = path or tokenizer_path()
+    small_batches(spark)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,8 +12,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Entries of a worker's piece table; beyond it the table starts anew, so its memory is bounded.
-TABLE_ENTRIES = 1_000_000
+#: Bytes of a worker's piece table, about; beyond it the table starts anew, so its memory is bounded.
+TABLE_BYTES = 64 << 20
 #: Texts are cut and looked up in groups of about so many characters.
 GROUP_CHARS = 1_000_000
 #: Characters on whose class Unicode versions differ; texts with one are encoded whole.
@@ -29,7 +29,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes. Special tokens' strings in a text are ordinary text."""
+    """Ids of texts as little-endian unsigned 32-bit bytes, those that the library gives with add_special_tokens=False.
+
+    So a special token's string in a text (<|endoftext|>) becomes that token.
+    """
 
     def __init__(self, path: str):
         import os
@@ -38,8 +41,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        #: Strings that the library takes for tokens of their own; a text with one is encoded whole.
+        self.special = [str(x.content) for x in self.library.get_added_tokens_decoder().values()]
         self.table: dict[str, bytes] = {}
+        self.size = 0
         ids = self.library.encode("\n", add_special_tokens=False).ids
         self.line = np.array(ids, "<u4").tobytes() if len(ids) == 1 else None
         self.line_id = ids[0]
@@ -75,7 +80,7 @@ class Encoder:
 
     def cut(self, text: str) -> list[str] | None:
         """Pieces, each with the space or line feed before it (" \\n" for the latter); None if the text must stay whole."""
-        if not self.pieces or not text.isascii() and any(x in text for x in _DOUBTFUL) or "\0" in text:
+        if not self.pieces or not text.isascii() and any(x in text for x in _DOUBTFUL) or "\0" in text or any(x in text for x in self.special):
             return None
         found = text.replace("\n", " \n").replace(" ", "\0 ").split("\0")
         words = text.split()
@@ -84,8 +89,11 @@ class Encoder:
 
     def learn(self, missing: set[str]) -> None:
         """Adds the ids of pieces. What follows a line feed, or stands before a last stop or comma, is encoded alone."""
-        if len(self.table) > TABLE_ENTRIES:
+        if self.size > TABLE_BYTES:
             self.table.clear()
+            self.size = 0
+        # Two objects of some 50 bytes, their contents, and the table's own entry.
+        self.size += sum(200 + 5 * len(x) for x in missing)
         table, made, alone = self.table, [], set()
         for x in missing:
             y = x[2:] if x[:2] == " \n" else x
@@ -118,7 +126,7 @@ class Encoder:
         table = self.table
         missing = every.difference(table)
         if missing:
-            self.learn(every if len(table) > TABLE_ENTRIES else missing)
+            self.learn(every if self.size > TABLE_BYTES else missing)
         return [self.whole(text) if found is None else b"".join(map(table.__getitem__, found)) for text, found in zip(texts, cuts)]
 
 

@@ -32,6 +32,7 @@ def edge_rows():
         (13, "12 34 .. !! " * 20),
         (None, None),
         (-7, b),
+        (14, "before <|endoftext|> after\n<|endoftext|><|endoftext|>"),
     ]
     return [(i, t, None if k % 5 == 0 else "ab"[k % 2], None if k % 7 == 0 else f"s{k % 9}", None, k, k, "x", k, "y", True, k) for k, (i, t) in enumerate(rows)]
 

@@ -36,6 +36,32 @@ def test_languages_of_held_out_documents(spark):
     assert {r.doc_id: r for r in langid.identify(wrong).collect()} == rows
 
 
+def test_kernel_and_ridge_against_dictionaries():
+    """The kernel by sets of n-grams, and the ridge regression over explicit features of the landmarks' space."""
+    rows = tongues(60)
+    texts, labels = [r[1] for r in rows] + ["Aa", "é ß", "x"], [r[2] for r in rows] + ["en", "de", "en"]
+    model = langid.fit(texts, labels, landmarks=6)
+
+    def spectrum(t):
+        b = t.encode().translate(bytes(langid.LOWER))
+        return {b[i : i + n] for n in (1, 2, 3, 4) for i in range(len(b) - n + 1)}
+
+    sets = [spectrum(t) for t in texts]
+    marks = [i for k in ("de", "en") for i in [j for j, x in enumerate(labels) if x == k][:6]]
+    marks = sorted(marks)
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    expected = np.array([[kernel(s, sets[m]) for m in marks] for s in sets])
+    got = model.kernel(*langid._joined(texts))
+    assert np.allclose(got, expected, atol=1e-5)
+    among = expected[marks]
+    factor = np.linalg.inv(np.linalg.cholesky(among + 1e-6 * np.eye(len(marks)))).T  # any square root of the inverse serves
+    z = expected @ factor
+    w = np.sqrt([len(labels) / 2 / labels.count(x) for x in labels])[:, None]
+    y = np.array([[1.0 if x == k else -1.0 for k in ("de", "en")] for x in labels])
+    solved = np.linalg.lstsq(np.concatenate([z * w, math.sqrt(langid.RIDGE) * np.eye(len(marks))]), np.concatenate([y * w, np.zeros((len(marks), 2))]), rcond=None)[0]
+    assert np.allclose(model.scores(*langid._joined(texts)), z @ solved, atol=2e-3)
+
+
 def test_language_edges(spark, edges, nothing):
     rows = langid.identify(edges).collect()
     assert len(rows) == len(edge_rows())
@@ -118,23 +144,19 @@ def test_bands_reject_table_junk_near_the_clean_texts(spark):
     assert kept >= set(range(200)) and 1002 not in kept
 
 
-def brute_lines(rows, sites, share):
+def brute_lines(rows, sites, copies=None):
     has = lambda x: bool(WORD.search(x))
-    once = {}
+    spread, texts = defaultdict(set), defaultdict(set)
     for _, t, s in rows:
-        if t is not None:
-            once[t] = min(once.get(t, s or "\0"), s or "\0")
-    spread = defaultdict(set)
-    for t, s in once.items():
-        for x in t.split("\n"):
-            if has(x):
-                spread[x].add(s)
+        for x in (t or "").split("\n"):
+            spread[x].add(s)
+            texts[x].add(t)
     out = Counter()
     for i, t, _ in rows:
         lines = (t or "").split("\n")
         n = sum(map(has, lines))
-        bad = [x for x in lines if len(spread.get(x, ())) >= sites]
-        if len(bad) <= share * n and bad:
+        bad = [x for x in lines if has(x) and len(spread[x]) >= sites and len(texts[x]) >= sites]
+        if bad and not (copies is not None and (len(bad) == n or len(bad) > copies and 2 * len(bad) > n)):
             out[i, "\n".join(x for x in lines if x not in bad), n, len(bad)] += 1
         else:
             out[i, t, n, 0] += 1
@@ -142,27 +164,58 @@ def brute_lines(rows, sites, share):
 
 
 @pytest.mark.parametrize("sites", [3, 12])
-def test_line_spread(spark, sites):
+@pytest.mark.parametrize("copies", [None, 2])
+def test_line_spread(spark, sites, copies):
     r = random.Random(sites)
     stock = [f"stock line {k}" for k in range(12)]
     rows = []
     for i in range(150):
-        own = [f"own {i} {j}" for j in range(r.randint(1, 5))] + r.sample(stock[: 1 + i % 12], r.randint(0, min(3, 1 + i % 12))) + ["", " "][: r.randint(0, 2)]
+        own = [f"own {i} {j}" for j in range(r.randint(0, 5))] + r.sample(stock[: 1 + i % 12], r.randint(0, min(6, 1 + i % 12))) + ["", " "][: r.randint(0, 2)]
         r.shuffle(own)
         rows.append((i, "\n".join(own), f"s{r.randint(0, sites + 2)}"))
     rows += [(500 + i, rows[0][1], f"t{i}") for i in range(20)] + [(600, None, "x"), (601, "", None), (602, stock[0], None), (602, stock[0], None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in dedup_lines(df, sites).collect())
-    assert got == brute_lines(rows, sites, 0.5)
+    got = Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in dedup_lines(df, sites, copies).collect())
+    assert got == brute_lines(rows, sites, copies)
+
+
+def test_a_hot_site_that_sorts_first_hides_no_spread(spark):
+    rows = [(i, f"page {i // 2}\ncommon footer", "a" if i % 2 else f"s{i % 20}") for i in range(200)]  # site a mirrors every page
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.n_removed for r in got} == {1} and {r.text for r in got} == {f"page {i}" for i in range(100)}
 
 
 def test_line_edges(edges, nothing):
     got = dedup_lines(edges, 2)
     assert got.columns == [*edges.columns, "n_lines", "n_removed"]
-    assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()) == brute_lines([(r[0], r[1], r[3]) for r in edge_rows()], 2, 0.5)
+    assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()) == brute_lines([(r[0], r[1], r[3]) for r in edge_rows()], 2)
     assert dedup_lines(nothing).count() == 0
 
 
+CLASHES = ["_id", "_doc", "_whole", "_n", "_gone", "score", "lang_pred", "_predicted", "n_lines", "n_removed", "line", "at", "th", "bucket", "a", "b", "Text_", "held_out"]
+
+
+def test_names_that_clash(spark, edges):
+    """Columns with the names that operators and stages use inside come back unchanged."""
+    import corpus_pipeline
+    from terrace.llm import attribution, minhash, packing, phrases, suffixes, tokenbin
+
+    marked = edges.drop(*CLASHES).select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    same = lambda df: sorted((tuple(r[c] for c in ["doc_id", *CLASHES]) for r in df.collect()), key=repr)
+    every = same(marked)
+    assert same(dedup_lines(marked, 2, report=("x_lines", "x_removed"))) == every
+    kept = langid.keep_identified(marked, least=0.0)
+    assert kept.columns == marked.columns and set(same(kept)) <= set(every)
+    assert corpus_pipeline.dedup_lines(spark, marked, "").columns == marked.columns and same(corpus_pipeline.dedup_lines(spark, marked, "")) == every
+    assert set(same(minhash.keep_one(marked))) <= set(every) and minhash.keep_one(marked).columns == marked.columns
+    bench = spark.createDataFrame([(1, prose(3, 40), "x")], "item_id long, text string, _gone string")
+    assert len(same(decontaminate.decontaminate(marked, bench))) == len(every) - 2
+    n = len(every)
+    assert langid.identify(marked).count() == quality.quality(marked).count() == suffixes.dedup_bytes(marked).count() == phrases.dedup_phrases(marked).count() == n
+    assert packing.pack(marked).where("start = 0").count() == n and attribution.count_tokens(marked).count() > 0
+    assert tokenbin.read_token_files(tokenbin.write_token_files(marked, f"{spark.conf.get('spark.checkpoint.dir')}/clash"), with_ids=False).count() == n
+
+
 def test_multi_index_finds_every_fingerprint():
     r = np.random.default_rng(2)
     prints = r.integers(0, 2**63, 40, dtype=np.uint64)
@@ -255,3 +308,42 @@ def test_pipeline_stages(spark, tmp_path):
     assert seen[1].where(F.col("text").contains("rights reserved here.") & ~F.col("text").contains("tail")).count() == 0
     assert ids[2] == ids[1] - {100, 101, 102, 103, 104} and ids[3] == ids[2] - {202} and ids[4] == ids[3]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids[4]
+
+
+def brute_pipeline(spark, rows, items):
+    """The kept rows (id, text) after four stages. The first stage's verdict is its operator's, which is tested on its own."""
+    import corpus_pipeline
+    from .test_repeats import brute_components
+
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    langs = {(r.doc_id, r.text) for r in langid.keep_identified(df, least=corpus_pipeline.LEAST_SCORE).collect()}
+    rows = [r for r in rows if (r[0], r[1]) in langs]
+    cut = brute_lines([(r[0], r[1], r[3]) for r in rows], 8, corpus_pipeline.BLOCK_LINES)
+    docs = [(i, t) for (i, t, _, _), n in cut.items() for _ in range(n)]
+    least = {i: c for (i, _, c, _), _ in brute_components([d for d in docs if d[0] is not None]).items()}
+    docs = [d for d in docs if d[0] is None or least[d[0]] == d[0]]
+    gone = {i for i, _ in brute_matches(docs, [x for x in items if x[1]])} - {None}
+    return [d for d in docs if d[0] not in gone]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    from .test_tokens import ids_of
+
+    rows = [(r[0], r[1], r[2], r[3], None) for r in edge_rows() if r[0] != 12]
+    rows += [(100 + i, prose(i, 70) + "\nAll rights reserved here.\n" + prose(i + 300, 9), "de" if i % 3 else "en", f"s{i % 12}", 7) for i in range(40)]
+    rows += [(200 + i, "\n".join(prose(800 + j, 30) for j in range(8) if j != i % 9) + f"\nown {prose(i, 3)}", "en", f"s{i % 12}", 7) for i in range(30)]  # near copies on many sites
+    items = [(1, prose(3, 40)), (2, None), (3, ""), (4, prose(5, 60).split()[0] + " " + prose(105, 30))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    kept = brute_pipeline(spark, rows, items)
+    got = Counter((r.doc_id, r.doc_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).where("start = 0").collect())
+    assert got == Counter((i, len(ids_of(t, 1))) for i, t in kept) and 40 < len(kept) < 60
+
+
+def test_pipeline_of_nothing(spark, nothing, tmp_path):
+    import corpus_pipeline
+
+    nothing.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -16,9 +16,7 @@ from .conftest import edge_rows
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
 def ids_of(text, end):
@@ -27,7 +25,7 @@ def ids_of(text, end):
 
 def test_pieces_encode_as_the_whole_text():
     own, other, r = Encoder(tokenizer_path()), library(), random.Random(1)
-    fixed = ["a  b", "\n", "a\n\nb", "x 's", "don't 's ok", "<|endoftext|> a", " lead", "trail ", "a\tb", "1 2,3 .\n. x", "日本 語\nx", "a\r\nb", "a\0b c", "", "x \x1c y", "a᠎b c", "word, word. word.,"]
+    fixed = ["a  b", "\n", "a\n\nb", "x 's", "don't 's ok", "<|endoftext|> a", "hello <|endoftext|> world", "a<|endoftext|>b\n<|endoftext|>", "<|endoftext |>", " lead", "trail ", "a\tb", "1 2,3 .\n. x", "日本 語\nx", "a\r\nb", "a\0b c", "", "x \x1c y", "a᠎b c", "word, word. word.,"]
     drawn = ["".join(r.choice("ab 's.,\n\t1é日\0　") for _ in range(r.randint(0, 16))) for _ in range(1500)]
     for text in fixed + drawn:
         assert own.encode([text])[0] == np.array(other.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
@@ -36,7 +34,7 @@ def test_pieces_encode_as_the_whole_text():
 def test_table_is_bounded(monkeypatch):
     from terrace.llm import tokens
 
-    monkeypatch.setattr(tokens, "TABLE_ENTRIES", 5)
+    monkeypatch.setattr(tokens, "TABLE_BYTES", 900)
     own, other = Encoder(tokenizer_path()), library()
     for text in ("some words here and there", "other words, there and here.", "some words here and there\nagain and again"):
         assert own.encode([text])[0] == np.array(other.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
