@@ -7,11 +7,13 @@ beyond the world count as on its rim.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .predicates import edges_meet, inside
-from .shapes import WORLD, Box, Shape
+from .shapes import WORLD, Box, Shape, bound
 
 #: The geohash alphabet (fixed values).
 ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
@@ -66,15 +68,20 @@ def point_cell(s: Shape, precision: int, world: Box = WORLD) -> Column:
     return F.when(s.col.isNotNull(), _cell(_place(s["x"], world.xmin, world.xmax, nx), _place(s["y"], world.ymin, world.ymax, ny), precision, world))
 
 
-def _ranges(s: Shape, precision: int, world: Box, rim: bool) -> tuple[Column, Column]:
-    """Numbers of the columns and rows of cells that a shape's box overlaps. rim: those that hold a point of it, be it of its rim."""
+def _ends(s: Shape, precision: int, world: Box, rim: bool) -> list[tuple[Column, Column]]:
+    """First and last column, and first and last row, of the cells that a shape's box overlaps. rim: those that hold a point of it, be it of its rim."""
     out = []
     for a, z, low, high, bits in (("xmin", "xmax", world.xmin, world.xmax, sizes(precision)[0]), ("ymin", "ymax", world.ymin, world.ymax, sizes(precision)[1])):
         first, last = _place(s[a], low, high, bits), _place(s[z], low, high, bits)
         if not rim:  # the last cell may only be touched
             last = F.when(((s[z] - low) / (high - low) * (1 << bits) == last) & (last > first), last - 1).otherwise(last)
-        out.append(F.sequence(first, last))
-    return tuple(out)
+        out.append((first, last))
+    return out
+
+
+def _ranges(s: Shape, precision: int, world: Box, rim: bool) -> tuple[Column, Column]:
+    """Numbers of the columns and of the rows of these cells."""
+    return tuple(F.sequence(*ends) for ends in _ends(s, precision, world, rim))
 
 
 def cover(s: Shape, precision: int, world: Box = WORLD) -> Column:
@@ -113,13 +120,117 @@ def relate(cell: Column, s: Shape) -> Column:
     return F.when(holds, CONTAINS).when(polygon & ~hit & every & ~hole, WITHIN).when(hit | hole | (polygon & some), INTERSECTS).otherwise(DISJOINT)
 
 
+#: Cells of a shape's box that one row may have; more would be one array of too many keys.
+MOST_CELLS = 1 << 24
+#: Share of a cell by which a line counts as near it, so that rounding at a cell's rim does no harm.
+NEAR = 1e-6
+
+
+def _spans(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of whole numbers the numbers from low to high: (which pair, number)."""
+    n = high - low + 1
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + low[which]
+
+
+def cells_of(indices: np.ndarray, x: np.ndarray, y: np.ndarray, area: bool, columns: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Column, row and whether it lies inside of each cell that a shape meets. x, y: in cells, from the world's corner.
+
+    Cells near an edge don't lie inside. The others lie inside or outside as a whole: their centres decide. A shape that
+    leaves the world has all cells of its box, none inside, since points beyond the rim count as on it.
+    """
+    box = [np.clip(np.floor(np.array(v)), 0, n - 1).astype(np.int64) for v, n in (((x.min(), x.max()), columns), ((y.min(), y.max()), rows))]
+    if x.min() >= NEAR and y.min() >= NEAR and x.max() <= columns - NEAR and y.max() <= rows - NEAR:
+        box = [np.floor(np.array((v.min() - NEAR, v.max() + NEAR))).astype(np.int64) for v in (x, y)]
+        box = [np.clip(v, 0, n - 1) for v, n in zip(box, (columns, rows))]
+        outside = False
+    else:
+        outside = True
+    (i0, i1), (j0, j1) = box
+    wide, high = int(i1 - i0 + 1), int(j1 - j0 + 1)
+    if wide * high > MOST_CELLS:
+        raise ValueError(f"a shape's box has {wide * high} cells: choose a lower precision")
+    if outside:
+        i, j = np.divmod(np.arange(wide * high), high)
+        return i + i0, j + j0, np.zeros(wide * high, bool)
+    keep = np.ones(max(1, len(x) - 1), bool)
+    keep[np.asarray(indices[1:], np.int64) - 1] = False
+    a = np.flatnonzero(keep)
+    b = np.minimum(a + 1, len(x) - 1)
+    x0, y0, x1, y1 = x[a], y[a], x[b], y[b]
+    # Columns that each edge comes near to, and the rows of its part in each.
+    left, right = np.minimum(x0, x1), np.maximum(x0, x1)
+    e, i = _spans(np.maximum(np.floor(left - NEAR).astype(np.int64), i0), np.minimum(np.floor(right + NEAR).astype(np.int64), i1))
+    run = x1[e] - x0[e]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ta, tb = np.clip((i - NEAR - x0[e]) / run, 0, 1), np.clip((i + 1 + NEAR - x0[e]) / run, 0, 1)
+    ta, tb = np.where(run == 0, 0.0, ta), np.where(run == 0, 1.0, tb)
+    ya, yb = y0[e] + ta * (y1[e] - y0[e]), y0[e] + tb * (y1[e] - y0[e])
+    k, j = _spans(np.maximum(np.floor(np.minimum(ya, yb) - NEAR).astype(np.int64), j0), np.minimum(np.floor(np.maximum(ya, yb) + NEAR).astype(np.int64), j1))
+    near = np.zeros((high, wide), bool)
+    near[j - j0, i[k] - i0] = True
+    inside = np.zeros((high, wide), bool)
+    if area:
+        # Edges across the middle of each row change the side of all centres to the right.
+        bottom, top = np.minimum(y0, y1), np.maximum(y0, y1)
+        first, last = np.ceil(bottom - 0.5).astype(np.int64), np.ceil(top - 0.5).astype(np.int64) - 1
+        some = np.flatnonzero(last >= first)
+        e, j = _spans(first[some], last[some])
+        e = some[e]
+        cross = x0[e] + (j + 0.5 - y0[e]) / (y1[e] - y0[e]) * (x1[e] - x0[e])
+        turns = np.zeros((high, wide + 1), np.int64)
+        np.add.at(turns, (j - j0, np.clip(np.ceil(cross - 0.5).astype(np.int64) - i0, 0, wide)), 1)
+        inside = (np.cumsum(turns[:, :wide], axis=1) % 2 == 1) & ~near
+    j, i = np.nonzero(near | inside)
+    return i + i0, j + j0, inside[j, i]
+
+
+def meeting_cells(s: Shape, precision: int, world: Box = WORLD) -> Column:
+    """array<struct<ix, iy, inside>>: cells that a polyline or polygon meets or comes near to, and those that lie inside it."""
+    columns, rows = (1 << n for n in sizes(precision))
+
+    @F.arrow_udf("array<struct<ix:bigint,iy:bigint,inside:boolean>>")
+    def found(kind: pa.Array, indices: pa.Array, xs: pa.Array, ys: pa.Array) -> pa.Array:
+        lists: list[tuple] = []
+        sizes_, null = [], []
+        for t, first, x, y in zip(kind.to_pylist(), indices, xs, ys):
+            gone = t is None or not x.is_valid or not len(x)
+            null.append(gone)
+            if gone:
+                sizes_.append(0)
+                continue
+            u = (x.values.to_numpy(zero_copy_only=False) - world.xmin) / (world.xmax - world.xmin) * columns
+            v = (y.values.to_numpy(zero_copy_only=False) - world.ymin) / (world.ymax - world.ymin) * rows
+            lists.append(cells_of(first.values.to_numpy(zero_copy_only=False), u, v, t == 5, columns, rows))
+            sizes_.append(len(lists[-1][0]))
+        parts = [np.concatenate(p) for p in zip(*lists)] if lists else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
+        cells = pa.StructArray.from_arrays([pa.array(p) for p in parts], ["ix", "iy", "inside"])
+        offsets = pa.array(np.append(0, np.cumsum(sizes_)).astype(np.int32), mask=np.append(null, False).astype(bool))
+        return pa.ListArray.from_arrays(offsets, cells)
+
+    c = s.col
+    return found(c["type"], c["indices"], c["xcoordinates"], c["ycoordinates"])
+
+
 def index(s: Shape, precision: int = 30, world: Box = WORLD) -> Column:
-    """array<struct<curve, relation>>: the cells that a shape meets, and how."""
+    """array<struct<curve, relation>>: the cells that a shape meets, and how. Only cells near an edge are compared with the shape."""
     checked(precision)
     if s.kind == "point":
         return F.when(s.col.isNotNull(), F.array(F.struct(point_cell(s, precision, world).alias("curve"), F.lit(CONTAINS).alias("relation"))))
-    cells = F.transform(cover(s, precision, world), lambda c: F.struct(c.alias("curve"), relate(c, s).alias("relation")))
-    return F.filter(cells, lambda c: c["relation"] != DISJOINT)
+    if s.kind == "line":
+        found = F.transform(cover(s, precision, world), lambda c: F.struct(c.alias("curve"), relate(c, s).alias("relation")))
+        return F.filter(found, lambda c: c["relation"] != DISJOINT)
+
+    def related(m: Column) -> Column:
+        of = Shape(m["s"], "multi", m["edges"])
+        (left, right), (low, high) = _ends(of, precision, world, rim=False)
+        cells = F.filter(m["cells"], lambda c: (c["ix"] >= left) & (c["ix"] <= right) & (c["iy"] >= low) & (c["iy"] <= high))
+        made = F.transform(cells, lambda c: F.struct(_cell(c["ix"], c["iy"], precision, world).alias("curve"), c["inside"].alias("inside")))
+        found = F.transform(made, lambda c: F.struct(c["curve"].alias("curve"), F.when(c["inside"], F.lit(WITHIN)).otherwise(relate(c["curve"], of)).alias("relation")))
+        return F.filter(found, lambda c: c["relation"] != DISJOINT)
+
+    together = F.struct(s.col.alias("s"), s.edges.alias("edges"), meeting_cells(s, precision, world).alias("cells"))
+    return F.when(s.col.isNotNull(), bound(together, related))
 
 
 def cell_key(cell: Column, precision: int) -> Column:

@@ -104,6 +104,31 @@ def covers(a: Shape, b: Shape) -> Column:
     return contains(a, b)
 
 
+def touches(a: Shape, b: Shape) -> Column:
+    """A point on the boundary of a polygon or at an end of a part of a line; other shapes: they meet, and neither reaches the other's inside.
+
+    Between two polygons: edges meet, no vertex of either lies inside the other, and no two edges properly cross.
+    """
+    if a.kind == "point" or b.kind == "point":
+        p, other = (a, b) if a.kind == "point" else (b, a)
+        if other.kind == "point":
+            return boxes_overlap(a, b) & F.lit(False)
+        ends = F.exists(other.ends, lambda v: (v["x"] == p["x"]) & (v["y"] == p["y"]))
+        return F.when(other.is_polygon, intersects(a, b)).otherwise(ends)
+
+    def left(g: Column, x, y) -> Column:
+        return F.signum(area(g["x0"], g["y0"], g["x1"], g["y1"], x, y))
+
+    def crossed(e: Column, f: Column) -> Column:
+        return (left(f, e["x0"], e["y0"]) * left(f, e["x1"], e["y1"]) < 0) & (left(e, f["x0"], f["y0"]) * left(e, f["x1"], f["y1"]) < 0)
+
+    within_other = F.lit(False)
+    for container, item in ((a, b), (b, a)):
+        if container.kind == "multi":
+            within_other = within_other | (container.is_polygon & _any_vertex_inside(item, container))
+    return intersects(a, b, strict=True) & ~within_other & ~F.exists(a.edges, lambda e: F.exists(b.edges, lambda f: crossed(e, f)))
+
+
 def disjoint(a: Shape, b: Shape) -> Column:
     """Neither meets nor lies in the other."""
     apart = ~intersects(a, b)

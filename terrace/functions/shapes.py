@@ -153,6 +153,15 @@ class Shape:
             return F.array(*[F.struct(c[f"{e}X"].alias("x"), c[f"{e}Y"].alias("y")) for e in ("start", "end")])
         return F.zip_with(c["xcoordinates"], c["ycoordinates"], lambda x, y: F.struct(x.alias("x"), y.alias("y")))
 
+    @property
+    def ends(self) -> Column:
+        """array<struct<x, y>>: first and last vertex of a segment, or of each part."""
+        if self.kind != "multi":
+            return self.vertices
+        first, n = self.col["indices"], F.size(self.col["xcoordinates"])
+        places = F.concat(first, F.transform(first, lambda a, i: F.coalesce(F.get(first, i + 1), n) - 1))
+        return F.transform(places, lambda i: F.struct(F.get(self.col["xcoordinates"], i).alias("x"), F.get(self.col["ycoordinates"], i).alias("y")))
+
     @property
     def is_polygon(self) -> Column:
         return F.lit(False) if self.kind != "multi" else self.col["type"] == POLYGON

@@ -1,13 +1,15 @@
 """Joins on spatial predicates through an equi-join on grid cells.
 
-Both sides get the keys of the cells that their shapes' boxes overlap; rows of one cell are candidates and the predicate
-decides. A pair that meets in several cells counts in one of them only, the cell of the lower left corner of the two
-boxes' overlap, so no distinct is needed. Spark chooses a broadcast or a sort-merge join on the cell and splits skewed
-cells.
-
-With a point on the left, a polygon on the right and `within`, a left row has one cell, and inner, left, semi and anti
-joins are one equi-join. Other outer, semi and anti joins find the matching pairs first and join them back by row keys.
-Null shapes never match.
+Both sides get keys of cells; rows of one cell are candidates and the predicate decides. Spark chooses a broadcast or a
+sort-merge join on the cell and splits skewed cells.
+
+A point has one cell. A polyline or polygon that points are joined with has the cells that it meets, not those of its box,
+and a cell that lies inside a polygon answers for its points: there the predicate isn't evaluated, and the polygon's edges
+don't come along. Of two shapes with an extent both have the cells of their boxes, and a pair that meets in several cells
+counts in one of them only, the cell of the lower left corner of the boxes' overlap, so no distinct is needed.
+
+With a point on the left inner, left, semi and anti joins are one equi-join. Other outer, semi and anti joins find the
+matching pairs first and join them back by row keys. Null shapes never match.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ PREDICATES: dict[str, Callable[[Shape, Shape], Column]] = {
     "intersects_strict": lambda a, b: predicates.intersects(a, b, strict=True),
     "covers": predicates.covers,
 }
+#: What a point in a cell inside a polygon means for a predicate.
+INSIDE = {"within": True, "contains": True, "covers": True, "intersects": False, "intersects_strict": False}
 HOW = ("inner", "left", "right", "full", "left_semi", "left_anti")
 
 
@@ -36,31 +40,58 @@ def with_index(df: DataFrame, shape: str, precision: int = 30, world: Box = WORL
     return df.withColumn(name, grid.index(Shape.of(df, shape), precision, world))
 
 
-def _cells(df: DataFrame, shape: Shape, precision: int, world: Box, index: str | None, name: str, outer: bool = False) -> DataFrame:
-    if shape.kind == "point" and index is None:
-        return df.withColumn(name, F.when(shape.col.isNotNull(), grid.point_key(shape["x"], shape["y"], precision, world)))
+def _point_cells(df: DataFrame, p: Shape, precision: int, world: Box, name: str) -> DataFrame:
+    return df.withColumn(name, F.when(p.col.isNotNull(), grid.point_key(p["x"], p["y"], precision, world)))
+
+
+def _region_cells(df: DataFrame, s: Shape, precision: int, world: Box, index: str | None, name: str) -> tuple[DataFrame, Shape]:
+    """A row for each cell of a shape: its key `name`, and `name`_in, whether it lies inside. Edges come along only where it doesn't."""
     if index is not None:
         wrong = F.exists(F.col(index), lambda c: c["curve"]["precision"] != precision)
-        cells = F.when(wrong, F.raise_error(F.lit(f"{index} isn't of precision {precision}")).cast("array<bigint>")).otherwise(F.transform(F.col(index), lambda c: grid.cell_key(c["curve"], precision)))
+        cells = F.transform(F.col(index), lambda c: F.struct(grid.cell_key(c["curve"], precision).alias("key"), (c["relation"] == grid.WITHIN).alias("inside")))
+        cells = F.when(wrong, F.raise_error(F.lit(f"{index} isn't of precision {precision}")).cast("array<struct<key:bigint,inside:boolean>>")).otherwise(cells)
+        one = F.col(f"{name}_c")
+        df = df.withColumn(f"{name}_e", s.edges).withColumn(f"{name}_c", F.explode(cells)).withColumns({name: one["key"], f"{name}_in": one["inside"]})
     else:
-        cells = grid.cover_keys(shape, precision, world)
-    return df.withColumn(name, (F.explode_outer if outer else F.explode)(cells))
+        one = F.col(f"{name}_c")
+        df = df.withColumn(f"{name}_e", s.edges).withColumn(f"{name}_c", F.explode(grid.meeting_cells(s, precision, world)))
+        df = df.withColumns({name: grid.key(one["ix"], one["iy"], precision), f"{name}_in": one["inside"]})
+    df = df.withColumn(f"{name}_e", F.when(~F.col(f"{name}_in"), F.col(f"{name}_e"))).drop(f"{name}_c")
+    return df, Shape(s.col, s.kind, F.col(f"{name}_e"))
 
 
-def _with_edges(df: DataFrame, s: Shape, name: str) -> tuple[DataFrame, Shape]:
-    """Edges of polylines and polygons are made once a row, before it meets its candidates."""
-    return (df.withColumn(name, s.edges), Shape(s.col, s.kind, F.col(name))) if s.kind == "multi" else (df, s)
+def _box_cells(df: DataFrame, s: Shape, precision: int, world: Box, name: str) -> tuple[DataFrame, Shape]:
+    if s.kind == "multi":
+        df = df.withColumn(f"{name}_e", s.edges)
+        s = Shape(s.col, s.kind, F.col(f"{name}_e"))
+    return df.withColumn(name, F.explode(grid.cover_keys(s, precision, world))), s
 
 
-def _inner(left: DataFrame, right: DataFrame, l: Shape, r: Shape, matched: Column, precision: int, world: Box, left_index: str | None, right_index: str | None) -> DataFrame:
-    a = _cells(left, l, precision, world, left_index, "__cell_l")
-    b = _cells(right, r, precision, world, right_index, "__cell_r")
+def _candidates(left: DataFrame, right: DataFrame, l: Shape, r: Shape, predicate: str, condition: Column | None, precision: int, world: Box, left_index: str | None, right_index: str | None) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides with their cells, and the condition of the join."""
     on = F.col("__cell_l") == F.col("__cell_r")
-    if l.kind != "point" and r.kind != "point":
-        # Of all cells that a pair shares, that of the lower left corner of the boxes' overlap.
-        once = grid.point_key(F.greatest(l["xmin"], r["xmin"]), F.greatest(l["ymin"], r["ymin"]), precision, world)
-        on = on & (F.col("__cell_l") == once)
-    return a.join(b, on & matched).drop("__cell_l", "__cell_r")
+    kinds = {l.kind, r.kind}
+    if kinds == {"point", "multi"} and predicate in INSIDE:
+        if l.kind == "point":
+            a, (b, r) = _point_cells(left, l, precision, world, "__cell_l"), _region_cells(right, r, precision, world, right_index, "__cell_r")
+        else:
+            b, (a, l) = _point_cells(right, r, precision, world, "__cell_r"), _region_cells(left, l, precision, world, left_index, "__cell_l")
+        p, inside = (l, F.col("__cell_r_in")) if l.kind == "point" else (r, F.col("__cell_l_in"))
+        # A point beyond the world counts as on its rim, so its cell says nothing about it.
+        inside = inside & (p["x"] >= world.xmin) & (p["x"] <= world.xmax) & (p["y"] >= world.ymin) & (p["y"] <= world.ymax)
+        points_right = predicate in ("contains", "covers")
+        answer = INSIDE[predicate] and (l.kind == "multi") == points_right
+        matched = PREDICATES[predicate](l, r)
+        matched = inside | matched if answer else ~inside & matched
+    else:
+        a, l = _box_cells(left, l, precision, world, "__cell_l")
+        b, r = _box_cells(right, r, precision, world, "__cell_r")
+        matched = PREDICATES[predicate](l, r)
+        if "point" not in kinds:
+            # Of all cells that a pair shares, that of the lower left corner of the boxes' overlap.
+            once = grid.point_key(F.greatest(l["xmin"], r["xmin"]), F.greatest(l["ymin"], r["ymin"]), precision, world)
+            on = on & (F.col("__cell_l") == once)
+    return a, b, on & matched & condition if condition is not None else on & matched
 
 
 def spatial_join(
@@ -92,20 +123,16 @@ def spatial_join(
         raise ValueError(f"both sides have {', '.join(sorted(both))}")
     grid.checked(precision)
     left_columns, right_columns = left.columns, right.columns
-    left, l = _with_edges(left, Shape.of(left, left_shape), "__edges_l")
-    right, r = _with_edges(right, Shape.of(right, right_shape), "__edges_r")
-    matched = PREDICATES[predicate](l, r)
-    if condition is not None:
-        matched = matched & condition
-    if (left_index or right_index) and not (predicate == "within" and l.kind == "point" and r.kind == "multi"):
+    l, r = Shape.of(left, left_shape), Shape.of(right, right_shape)
+    if (left_index or right_index) and not (l.kind == "point" and r.kind == "multi" and predicate == "within" or l.kind == "multi" and r.kind == "point" and predicate == "contains"):
         raise ValueError("a stored index serves joins of points within polygons: it leaves out cells that only touch a shape")
-    if l.kind == "point" and how in ("inner", "left", "left_semi", "left_anti"):
-        a = _cells(left, l, precision, world, left_index, "__cell_l", outer=True)
-        b = _cells(right, r, precision, world, right_index, "__cell_r")
-        joined = a.join(b, (F.col("__cell_l") == F.col("__cell_r")) & matched, how)
-        return joined.select(*left_columns, *(right_columns if how in ("inner", "left") else []))
-    if how == "inner":
-        return _inner(left, right, l, r, matched, precision, world, left_index, right_index).select(*left_columns, *right_columns)
+
+    def candidates(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+        return _candidates(a, b, l, r, predicate, condition, precision, world, left_index, right_index)
+
+    if l.kind == "point" and how in ("inner", "left", "left_semi", "left_anti") or how == "inner":
+        a, b, on = candidates(left, right)
+        return a.join(b, on, how).select(*left_columns, *(right_columns if how in ("inner", "left") else []))
 
     def numbered(df: DataFrame, key: list[str] | None, name: str) -> DataFrame:
         if key:
@@ -118,7 +145,8 @@ def spatial_join(
     needs_right = how in ("right", "full")
     a = numbered(left, left_key, "__l")
     b = numbered(right, right_key, "__r") if needs_right else right.withColumn("__r", F.lit(0))
-    pairs = _inner(a, b, l, r, matched, precision, world, left_index, right_index)
+    x, y, on = candidates(a, b)
+    pairs = x.join(y, on).drop("__cell_l", "__cell_r")
     if how in ("left_semi", "left_anti"):
         return a.join(pairs.select(F.col("__l").alias("__hit")), F.col("__l") == F.col("__hit"), how).select(*left_columns)
     out = pairs.select(*left_columns, *right_columns)

@@ -1,7 +1,9 @@
 """Shapefiles: .shp geometry with .dbf attributes, and .shx record offsets.
 
-Files come through Spark's binaryFile source, so any store that Spark reads will do. A task reads a file (the format
-bounds its size); records are joined with attributes by file and by the record number in the record's header.
+Files come through Spark's binaryFile source, so any store that Spark reads will do. A file is read by one task. Where it
+has a .shx, its offsets plan splits of about SPLIT_BYTES, which are cut out of the content in the JVM and dealt over the
+cluster, so many tasks decode one file; a file without a .shx is one split. Records are joined with attributes by file and
+by the record number in the record's header.
 """
 
 from __future__ import annotations
@@ -25,7 +27,12 @@ def shp_records(data: bytes) -> Iterator[tuple[int, int, list[int], list[float],
     """(record number, 1, 3, 5 or 0 for null, first vertex of each part, xs, ys). Z and M are left out; a multipoint gives points."""
     if len(data) < 100 or struct.unpack(">i", data[:4])[0] != 9994:
         raise ValueError("not a shapefile")
-    end, at = min(len(data), 2 * struct.unpack(">i", data[24:28])[0]), 100
+    yield from records_of(data, 100, min(len(data), 2 * struct.unpack(">i", data[24:28])[0]))
+
+
+def records_of(data: bytes, at: int = 0, end: int | None = None) -> Iterator[tuple[int, int, list[int], list[float], list[float]]]:
+    """As shp_records, of the records from one place of the bytes to another."""
+    end = len(data) if end is None else end
     while at + 12 <= end:
         number, words = struct.unpack_from(">ii", data, at)
         body, at = at + 8, at + 8 + 2 * words
@@ -85,15 +92,26 @@ def _binary(spark: SparkSession, path: str, extension: str) -> DataFrame:
     return files.select(F.regexp_replace("path", r"(?i)\.[a-z]+$", "").alias("file"), "content")
 
 
-def read_shp(spark: SparkSession, path: str) -> DataFrame:
+#: Bytes of a .shp that a task decodes at a time.
+SPLIT_BYTES = 16 << 20
+
+
+def splits(spark: SparkSession, path: str, size: int = SPLIT_BYTES) -> DataFrame:
+    """file, start, length: stretches of whole records, of about `size` bytes, of each .shp that has a .shx."""
+    records = read_shx(spark, path).withColumn("split", F.floor(F.col("offset") / size))
+    each = records.groupBy("file", "split").agg(F.min("offset").alias("start"), F.max(F.col("offset") + F.col("length") + 8).alias("end"))
+    return each.select("file", "start", (F.col("end") - F.col("start")).alias("length"))
+
+
+def read_shp(spark: SparkSession, path: str, size: int = SPLIT_BYTES) -> DataFrame:
     """file, record, kind (1, 3, 5; 0 for null), indices, xs, ys"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("file", pa.string()), ("record", pa.int32()), ("kind", pa.int32()), ("indices", pa.list_(pa.int32())), ("xs", pa.list_(pa.float64())), ("ys", pa.list_(pa.float64()))])
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for name, start, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 held: list[tuple] = []
-                for record in shp_records(content.as_py()):
+                for record in (shp_records if start is None else records_of)(content.as_py()):
                     held.append((name, *record))
                     if len(held) == 1000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
@@ -101,7 +119,11 @@ def read_shp(spark: SparkSession, path: str) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
-    return _binary(spark, path, "shp").mapInArrow(run, "file string, record int, kind int, indices array<int>, xs array<double>, ys array<double>")
+    planned = splits(spark, path, size).groupBy("file").agg(F.collect_list(F.struct("start", "length")).alias("planned"))  # of one file
+    files = _binary(spark, path, "shp").join(planned, "file", "left").select("file", "content", F.explode_outer("planned").alias("split"))
+    part = F.when(F.col("split").isNull(), F.col("content")).otherwise(F.substring("content", F.col("split.start").cast("int") + 1, F.col("split.length").cast("int")))
+    dealt = files.select("file", F.col("split.start").alias("start"), part.alias("part")).repartition("file", "start")
+    return dealt.mapInArrow(run, "file string, record int, kind int, indices array<int>, xs array<double>, ys array<double>")
 
 
 def read_dbf(spark: SparkSession, path: str, trim: bool = True) -> DataFrame:
@@ -131,10 +153,10 @@ def read_shx(spark: SparkSession, path: str) -> DataFrame:
     return _binary(spark, path, "shx").mapInArrow(run, "file string, record int, offset long, length long")
 
 
-def read_shapefile(spark: SparkSession, path: str, trim: bool = True) -> DataFrame:
+def read_shapefile(spark: SparkSession, path: str, trim: bool = True, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """point, polyline, polygon, metadata, valid of every record below a path. metadata is null without a .dbf row."""
     k = F.col("kind")
-    rows = read_shp(spark, path).join(read_dbf(spark, path, trim), ["file", "record"], "left")
+    rows = read_shp(spark, path, split_bytes).join(read_dbf(spark, path, trim), ["file", "record"], "left")
     return finished(
         rows.select(
             F.when(k == 1, S.point_or_null(F.get("xs", F.lit(0)), F.get("ys", F.lit(0)))).alias("point"),
