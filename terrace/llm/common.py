@@ -56,6 +56,15 @@ def stored(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a join sends to every task, where they are counted to be so few; they are narrow, some tens of bytes.
+FEW_ROWS = 250_000
+
+
+def few(table: DataFrame) -> DataFrame:
+    """A stored table of narrow rows, with a broadcast hint where it is counted to be small; else Spark chooses the join."""
+    return F.broadcast(table) if table.count() <= FEW_ROWS else table
+
+
 def document_key(doc_id: Column | str = "doc_id", text: Column | str = "text") -> Column:
     """Identifies a row by its id and whole text, so ids that repeat or are null do no harm. Equal rows share a key."""
     return F.struct(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(-(2**63))).alias("id"), F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))).alias("h"))

@@ -1,27 +1,28 @@
 """Benchmark decontamination by SimHash windows.
 
 For each benchmark item, windows of the item's number of words slide over every document, one word at a time. Windows and
-items have a 64-bit SimHash of their weighted 5-word shingles (A-Z in lower case). Fingerprints are looked up in
-multi-index blocks: BLOCKS blocks of 64 / BLOCKS bits, each searched within radius RADIUS // BLOCKS, which by the
-pigeonhole principle finds every item fingerprint within RADIUS. Candidates are verified by the exact weighted
-similarity: shared over united weight of the shingle multisets. A shingle weighs 1 + log(items / items that have it),
-so phrases that many items share count less.
-
-A window that shares no shingle with any item of its size has similarity 0, so only windows around such a shingle get a
-fingerprint; that changes no result. RADIUS is three standard deviations above the mean distance of two windows at the
-least similarity.
-
-The benchmark is broadcast only up to BROADCAST_ITEMS items; beyond that it is split into groups of that size, each
-with its own pass over the documents. Items of fewer than 5 words are one shingle. Null or empty items and documents
-match nothing. Rows that repeat, or repeat an id, are each searched, and give equal rows once.
+items have a 64-bit SimHash of their weighted 5-word shingles (A-Z in lower case). Candidates are found in two steps. By
+shingles: an item that shares no shingle with a document has similarity 0 with all its windows, so a document is compared
+with the items it shares one with, at windows around such a shingle. By fingerprints: these items' are cut into BLOCKS
+blocks, and a window finds every item that agrees in some block within RADIUS // BLOCKS bits, which by the pigeonhole
+principle are all within RADIUS, and some beyond, which are dropped. Candidates are verified by the exact weighted
+similarity: shared over united weight of the shingle multisets. A shingle weighs 1 + log(items / items that have it), so
+phrases that many items share count less.
+
+Two windows of similarity 0.75 differ in 11 bits of 64 on average, with a standard deviation of 3; RADIUS is four of these
+above. `recall` compares with all windows, whatever their fingerprints.
+
+A group of items that is broadcast has at most GROUP_BYTES of text; a larger benchmark is split into several, each with its
+own pass over the documents. Items of fewer than 5 words are one shingle. Null or empty items and documents match nothing.
+Rows that repeat, or repeat an id, are each searched, and give equal rows once. Of windows that match an item equally well
+the first counts. Other columns, whatever their names, pass through `decontaminate`. Empty tables match nothing.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import combinations
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,11 @@ from pyspark.sql import functions as F
 from .common import LOWER, Rolling, grams, mix, parts, private, small_batches, words
 
 SHINGLE, LEAST = 5, 0.75
-RADIUS, BLOCKS = 20, 4
-BROADCAST_ITEMS = 20_000
+RADIUS, BLOCKS = 23, 4
+#: Bytes of items' text in a group; what is made of it takes some ten times as much in a worker.
+GROUP_BYTES = 8 << 20
+#: Windows times items that are compared at a time.
+CELLS = 1 << 20
 _POP = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
@@ -56,40 +60,35 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class MultiIndex:
-    """Finds every fingerprint within RADIUS of a query, by blocks."""
+    """Finds every fingerprint within a radius of a query, by blocks of bits."""
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS, blocks: int = BLOCKS):
         self.prints, self.radius, self.width = prints, radius, 64 // blocks
-        near = radius // blocks
-        masks = [sum(1 << i for i in c) for k in range(near + 1) for c in combinations(range(self.width), k)]
-        self.tables = []
-        for b in range(blocks):
-            part = ((prints >> np.uint64(b * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
-            keys = (part[:, None] ^ np.array(masks)[None, :]).ravel()
-            who = np.repeat(np.arange(len(prints)), len(masks))
-            order = np.argsort(keys, kind="stable")
-            starts = np.searchsorted(keys[order], np.arange((1 << self.width) + 1))
-            self.tables.append((starts, who[order].astype(np.int32)))
+        self.near = radius // blocks
+        self.blocks = [self._block(prints, b) for b in range(blocks)]
+
+    def _block(self, x: np.ndarray, b: int) -> np.ndarray:
+        return ((x >> np.uint64(b * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.uint16)
 
     def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, fingerprint) within the radius, once each."""
-        q, p = [], []
-        for b, (starts, who) in enumerate(self.tables):
-            part = ((queries >> np.uint64(b * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
-            n = starts[part + 1] - starts[part]
-            rows = np.repeat(np.arange(len(queries)), n)
-            at = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[part], n)
-            hits = who[at]
-            ok = distance(queries[rows], self.prints[hits]) <= self.radius
-            q.append(rows[ok])
-            p.append(hits[ok])
-        both = np.unique(np.concatenate(q) * np.int64(len(self.prints)) + np.concatenate(p)) if q else np.zeros(0, np.int64)
-        return both // max(1, len(self.prints)), both % max(1, len(self.prints))
+        q, p = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        step = max(1, CELLS // max(1, len(self.prints)))
+        for a in range(0, len(queries), step):
+            some = queries[a : a + step]
+            found = np.zeros((len(some), len(self.prints)), bool)
+            for b, block in enumerate(self.blocks):
+                found |= _POP[self._block(some, b)[:, None] ^ block[None, :]] <= self.near
+            i, j = np.nonzero(found)
+            ok = distance(some[i], self.prints[j]) <= self.radius
+            q.append(i[ok] + a)
+            p.append(j[ok])
+        return np.concatenate(q), np.concatenate(p)
 
 
 @dataclass(eq=False)
 class Items:
-    """Benchmark items of one group, by their number of words."""
+    """Benchmark items of one group."""
 
     ids: list
     size: np.ndarray
@@ -98,30 +97,31 @@ class Items:
     known: np.ndarray  # all shingles, sorted and distinct
     weight: np.ndarray  # of known
     prints: np.ndarray
-    held: tuple[np.ndarray, np.ndarray]  # for each of known, where its sizes start; sizes of the items that have it
-    built: dict = field(default_factory=dict)
-
-    def index(self, size: int) -> tuple[MultiIndex, np.ndarray]:
-        """Fingerprints of the items of a size, and which items these are; built where first needed."""
-        if size not in self.built:
-            who = np.flatnonzero(self.size == size)
-            self.built[size] = MultiIndex(self.prints[who]), who
-        return self.built[size]
-
-    def hits(self, hashes: np.ndarray) -> dict[int, np.ndarray]:
-        """For each size of items: places of the shingles that an item of this size has."""
-        at, sizes = [], []
+    held: tuple[np.ndarray, np.ndarray]  # for each of known, where its items start; the items that have it
+
+    def touched(self, hashes: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(size, its items that share a shingle with a document, places of such shingles), for each size of items."""
+        starts, every = self.held
+        at, which = [], []
         for n in self.kinds:
             s = grams(hashes, SHINGLE) if n == SHINGLE else mix(grams(hashes, n) + np.uint64(n))
             if len(s):
                 k = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
                 found = np.flatnonzero(self.known[k] == s)
-                starts, every = self.held
-                count = starts[k[found] + 1] - starts[k[found]]
-                at.append(np.repeat(found, count))
-                sizes.append(every[np.repeat(starts[k[found]], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)])
-        at, sizes = np.concatenate(at), np.concatenate(sizes)
-        return {int(n): at[sizes == n] for n in np.unique(sizes)}
+                at.append(found)
+                which.append(k[found])
+        if not at:
+            return []
+        at, which = np.concatenate(at), np.concatenate(which)
+        distinct = np.unique(which)
+        lists = [every[starts[k] : starts[k + 1]] for k in distinct.tolist()]
+        items = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
+        out = []
+        for size in np.unique(self.size[items]).tolist():
+            own = items[self.size[items] == size]
+            has = np.array([bool((self.size[x] == size).any()) for x in lists])
+            out.append((size, own, at[has[np.searchsorted(distinct, which)]]))
+        return out
 
     def weights(self, shingles: np.ndarray) -> np.ndarray:
         """Shingles in no item weigh most."""
@@ -146,7 +146,7 @@ def prepared(rows: list[tuple[int, str]]) -> Items | None:
     if not ids:
         return None
     known, count = np.unique(np.concatenate([np.unique(s) for s in sets]), return_counts=True)
-    has = np.unique(np.concatenate([np.searchsorted(known, s) * np.int64(1 << 31) + n for s, n in zip(sets, sizes)]))
+    has = np.unique(np.concatenate([np.searchsorted(known, s) * np.int64(1 << 31) + i for i, s in enumerate(sets)]))
     held = np.searchsorted(has >> 31, np.arange(len(known) + 1)), has & ((1 << 31) - 1)
     kinds = [SHINGLE, *sorted({n for n in sizes if n < SHINGLE})]
     items = Items(ids, np.array(sizes), kinds, sets, known, 1 + np.log(len(ids) / count), np.zeros(0, np.uint64), held)
@@ -165,21 +165,22 @@ def similarity(a: np.ndarray, b: np.ndarray, items: Items) -> float:
     return float((w * np.minimum(p, q)).sum() / (w * np.maximum(p, q)).sum())
 
 
-def matches(hashes: np.ndarray, items: Items, least: float = LEAST) -> list[tuple[int, float, int]]:
+def matches(hashes: np.ndarray, items: Items, least: float = LEAST, radius: int = RADIUS) -> list[tuple[int, float, int]]:
     """(item, best similarity, first word of the first best window) for a document's word hashes."""
     best: dict[int, tuple[float, int]] = {}
     n = len(hashes)
     runs = grams(hashes, SHINGLE)
-    for size, hit in items.hits(hashes).items():
+    for size, own, hit in items.touched(hashes):
         if n < size:
             continue
-        index, who = items.index(size)
+        index = MultiIndex(items.prints[own], radius)
         if size < SHINGLE:
             s, width = mix(grams(hashes, size) + np.uint64(size)), 1
         else:
             s, width = runs, size - SHINGLE + 1
         last = len(s) - width
         lo, hi = np.maximum(0, hit - width + 1), np.minimum(hit, last)
+        lo, hi = lo[hi >= lo], hi[hi >= lo]
         cover = np.zeros(last + 2, np.int64)
         np.add.at(cover, lo, 1)
         np.add.at(cover, hi + 1, -1)
@@ -191,7 +192,7 @@ def matches(hashes: np.ndarray, items: Items, least: float = LEAST) -> list[tupl
             rising = np.zeros((len(part) + 1, 64))
             np.cumsum(_bits(part) * items.weights(part)[:, None], axis=0, out=rising[1:])
             q, p = index.search(_packed(rising[some - base + width] - rising[some - base]))
-            for i, j in zip(q.tolist(), who[p].tolist()):
+            for i, j in zip(q.tolist(), own[p].tolist()):
                 w = int(some[i])
                 x = similarity(s[w : w + width], items.shingles[j], items)
                 if x >= least and (j not in best or (x, -w) > (best[j][0], -best[j][1])):
@@ -199,13 +200,13 @@ def matches(hashes: np.ndarray, items: Items, least: float = LEAST) -> list[tupl
     return [(j, x, w) for j, (x, w) in best.items()]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, item_id, similarity, start_word: the best window for each document and item that match."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
+    """doc_id, item_id, similarity, start_word: the best window for each document and item that match. A radius of 64 compares all."""
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = items.count()
-    groups = max(1, -(-total // BROADCAST_ITEMS))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(1, -(-total // GROUP_BYTES))
     out = None
     for g in range(groups):
         rows = [(r["item_id"], r["text"]) for r in (items if groups == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)).toLocalIterator()]
@@ -233,7 +234,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) ->
                     out: list[tuple] = []
                     for i, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
                         if seen[y] > seen[x]:
-                            out += [(names[a + i], group.ids[j], s, w) for j, s, w in matches(hashes[x:y], group, least)]
+                            out += [(names[a + i], group.ids[j], s, w) for j, s, w in matches(hashes[x:y], group, least, radius)]
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["doc_id", "item_id", "similarity", "start_word"])
 
@@ -249,5 +250,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -
     return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
+def recall(docs: DataFrame, benchmark: DataFrame) -> tuple[int, int]:
+    """(pairs found, pairs that are there): how many matches the fingerprints' radius lets through."""
+    return contaminated(docs, benchmark).count(), contaminated(docs, benchmark, radius=64).count()
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

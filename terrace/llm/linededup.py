@@ -16,13 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import private, shared_folder, stored
+from .common import few, private, shared_folder, stored
 
 MIN_SITES = 8
 #: log2 of the sketch's registers; its standard error is 1.04 / 2 ** (LOG_K / 2), 1.6 %, and near means within six of them.
 LOG_K, NEAR = 12, 0.1
-#: Hashes of lines that a join sends to every task, 8 bytes each; with more, Spark chooses the join.
-SMALL = 250_000
 _WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -32,11 +30,6 @@ def _lines(docs: DataFrame, *kept: Column) -> DataFrame:
     return cut.where(F.col("content").rlike(_WORD)).withColumn("line", F.xxhash64("content")).drop("content")
 
 
-def _few(lines: DataFrame) -> DataFrame:
-    """A stored table of line hashes, with a broadcast hint where it is counted to be small."""
-    return F.broadcast(lines) if lines.count() <= SMALL else lines
-
-
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, folder: str | None = None) -> DataFrame:
     """Hashes `line` of lines that at least min_sites sites carry, in as many different texts."""
     folder = folder or shared_folder(docs.sparkSession)
@@ -48,7 +41,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, folder: str | None
     spread = stored(spread, f"{folder}/spread")
     held = spread.select("line")
     for count, of in (("sites", "site"), ("texts", "whole")):
-        near = _few(stored(spread.where(F.col(count) <= high).select("line"), f"{folder}/near-{count}"))
+        near = few(stored(spread.where(F.col(count) <= high).select("line"), f"{folder}/near-{count}"))
         exact = lines.join(near, "line", "left_semi").select("line", of).distinct().groupBy("line").agg(F.count("*").alias("n"))
         sure = spread.where(F.col(count) > high).select("line").unionByName(exact.where(F.col("n") >= min_sites).select("line"))
         held = held.join(sure, "line", "left_semi")
@@ -67,7 +60,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, copies: int | None
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
     doc, whole, gone = private([*names, *report], "_doc", "_whole", "_gone")
     key, text_hash = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text")
-    found = _lines(docs, key.alias(doc), text_hash.alias(whole)).join(_few(boilerplate(docs, min_sites, folder)), "line", "left_semi")
+    found = _lines(docs, key.alias(doc), text_hash.alias(whole)).join(few(boilerplate(docs, min_sites, folder)), "line", "left_semi")
     places = found.groupBy(doc, whole).agg(F.collect_set("at").alias(gone))  # at most a document's lines
     rows = docs.withColumns({doc: key, whole: text_hash}).join(places, [doc, whole], "left")
     parts = F.split("text", "\n", -1)

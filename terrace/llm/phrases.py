@@ -1,14 +1,19 @@
 """Substring dedup of words by repeated-phrase automata.
 
 A window is 20 consecutive words of one document; each word goes that lies in a window which also starts earlier (in a
-document of smaller id, or earlier in its own). Spark confirms recurring passages by counting (see repeats): equal
-contexts of a core are settled by their first one. What remains goes to shards by core. A shard confirms, among its
-passages, the windows that recur and their first place, compiles them into an Aho-Corasick automaton over word numbers
-and streams the documents' passages through it to locate every occurrence; each that isn't the first is removed.
+document of smaller id, or earlier in its own). Spark confirms recurring passages by counts over all documents (see
+repeats): whole contexts of a core that occur again, and stretches and single windows that several contexts share. Of each
+the first place is known.
+
+Documents are dealt over blocks by a hash. A passage goes to the blocks that hold a unit with its core, in a task with
+their documents; there an Aho-Corasick automaton over word numbers is compiled from the block's passages (several, one
+after another, where they are very many), and the whole text of every document with such a unit streams through it. Each
+occurrence that comes after the passage's first place is removed. A passage that all documents hold is in every block's
+automaton, once; the work grows with the text, not with its square.
 
 Words are [^\\x20\\x09-\\x0D]+, unchanged; null texts have none. Rows of one doc_id with different texts are in order of
 their text's hash; equal rows are one document, so neither removes words of the other. A null doc_id comes before all
-others. Other columns are ignored.
+others. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,15 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_folder, stored
-from .repeats import MOST, Found, Shape, cover, crowded_windows, find, keyed, removed, runs_of, with_texts
-from .suffixes import COVERED
+from .repeats import Found, Shape, confirmed_passages, cover, documents_in, find, keyed, renewed, untouched
 
 LENGTH, CORE = 20, 8
-SHARD = 5_000
+#: Units with a repeated core that a block has, about; and words of the passages in one automaton.
+BLOCK, AUTOMATON_WORDS = 40_000, 1_000_000
 
 
-def passages(texts: DataFrame, shape: Shape, shards: int) -> DataFrame:
-    """shard, core, id, th, lo, context, passage: the words of each unit's context, parted by spaces."""
+def passage_texts(places: DataFrame, rows: DataFrame, shape: Shape) -> DataFrame:
+    """core, context, id, th, lo, passage: the words of each passage, parted by spaces, from the document of its first place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -39,70 +44,84 @@ def passages(texts: DataFrame, shape: Shape, shards: int) -> DataFrame:
                 found = (batch.column(2)[i].as_py() or "").encode().split()
                 units = batch.column(3)[i].as_py()
                 cut = [b" ".join(found[u["lo"] : u["hi"] + shape.length]) for u in units]
-                arrays = [pa.array([u["core"] % shards for u in units], pa.int32()), pa.array([u["core"] for u in units], pa.int64()), pa.array([u["context"] for u in units], pa.int64()), pa.array([name] * len(units), pa.int64()), pa.array([th] * len(units), pa.int64()), pa.array([u["lo"] for u in units], pa.int32()), pa.array(cut, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["shard", "core", "context", "id", "th", "lo", "passage"])
+                arrays = [pa.array([u["core"] for u in units], pa.int64()), pa.array([u["context"] for u in units], pa.int64()), pa.array([name] * len(units), pa.int64()), pa.array([th] * len(units), pa.int64()), pa.array([u["lo"] for u in units], pa.int32()), pa.array(cut, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["core", "context", "id", "th", "lo", "passage"])
 
-    return texts.mapInArrow(run, "shard int, core long, context long, id long, th long, lo int, passage binary")
+    by = places.groupBy("id", "th").agg(F.collect_list(F.struct("core", "context", "lo", "hi")).alias("units"))  # of one document
+    texts = documents_in(rows, places).dropDuplicates(["id", "th"]).join(by, ["id", "th"]).select("id", "th", "text", "units")
+    return texts.mapInArrow(run, "core long, context long, id long, th long, lo int, passage binary")
 
 
-def locate(rows: list[tuple[int, int, int, bytes]], length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(id, th, lo, hi) of windows in the passages that aren't the first of their words. rows: (id, th, lo, passage)."""
+def compiled(passages: dict[bytes, tuple[int, int, int]], most: int) -> Iterator[tuple[dict[bytes, int], object]]:
+    """Word numbers and automaton of the passages, each with its first place; several where they have very many words."""
     import ahocorasick
 
     numbers: dict[bytes, int] = {}
-    texts = [(name, th, lo, tuple(numbers.setdefault(w, len(numbers)) for w in passage.split())) for name, th, lo, passage in sorted(set(rows))]
-    # Confirm: windows that occur at two places, and the first of them.
-    first: dict[tuple, tuple] = {}
-    recurring: dict[tuple, tuple] = {}
-    for name, th, lo, ids in texts:
-        for i in range(len(ids) - length + 1):
-            window, place = ids[i : i + length], (name, th, lo + i)
-            at = first.setdefault(window, place)
-            if at != place:
-                recurring[window] = at
-    first.clear()
-    if not recurring:
-        return
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for window, place in recurring.items():
-        automaton.add_word(window, place)
-    automaton.make_automaton()
-    for name, th, lo, ids in texts:
-        later = [end - length + 1 for end, place in automaton.iter(ids) if place != (name, th, lo + end - length + 1)]
-        for a, b in runs_of(np.array(later, np.int64)):
-            yield name, th, lo + a, lo + b
-
-
-def located(cut: DataFrame, shape: Shape) -> DataFrame:
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [x for b in batches for x in zip(*(b.column(i).to_pylist() for i in (3, 4, 5, 6)))]
-        out = list(locate(rows, shape.length))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["id", "th", "lo", "hi"])
-
-    return cut.groupBy("shard").applyInArrow(run, COVERED)
-
-
-def later_windows(rows: DataFrame, shape: Shape, folder: str, most: int = MOST) -> DataFrame:
-    """id, th, lo, hi: stretches of windows that also start earlier."""
-    found: Found = find(rows, shape, folder)
-    firsts = found.contexts.where("many > 1").select("core", "context", F.struct("id", "th", "lo").alias("f"))
-    settled = found.candidates.join(firsts, ["core", "context"]).where(F.struct("id", "th", "lo") != F.col("f")).select("id", "th", "lo", "hi")
-    usual, crowded = found.branching.where(F.col("n") <= most), found.branching.where(F.col("n") > most)
-    shards = max(1, -(-usual.count() // SHARD))
-    covered = settled.union(located(stored(passages(with_texts(usual, rows), shape, shards), f"{folder}/passages"), shape))
-    if not crowded.isEmpty():
-        covered = covered.union(crowded_windows(crowded, rows, shape, folder, earlier=True))
-    return stored(covered, f"{folder}/covered")
+    automaton, size = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), 0
+    for passage, place in passages.items():
+        key = tuple(numbers.setdefault(w, len(numbers) + 1) for w in passage.split())
+        automaton.add_word(key, (len(key), place))
+        size += len(key)
+        if size > most:
+            automaton.make_automaton()
+            yield numbers, automaton
+            numbers, automaton, size = {}, ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), 0
+    if size:
+        automaton.make_automaton()
+        yield numbers, automaton
+
+
+def later(words: list[bytes], place: tuple[int, int], numbers: dict[bytes, int], automaton: object, length: int) -> Iterator[dict]:
+    """Stretches of windows in a document's words that belong to a passage which starts earlier."""
+    ids = tuple([numbers.get(w, 0) for w in words])  # 0 is in no passage
+    for end, (n, first) in automaton.iter(ids):
+        at = end - n + 1
+        if (*place, at) > first:
+            yield {"lo": at, "hi": at + n - length}
+
+
+def streamed(docs: DataFrame, passages: DataFrame, finish, result: str, names: list[str], length: int, most: int) -> DataFrame:
+    """id, th and `names` of the documents (block, id, th, text), with what the passages (block, id, th, lo, passage) remove.
+
+    A block's passages come first, then its documents, a row at a time.
+    """
+    import pyspark.sql.types as T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, known, machines = None, {}, None
+        for batch in batches:
+            out: list[tuple] = []
+            blocks, ids, ths, los = (batch.column(i).to_pylist() for i in range(4))
+            for i in range(batch.num_rows):
+                if blocks[i] != block:
+                    block, known, machines = blocks[i], {}, None
+                if los[i] is not None:
+                    passage, place = batch.column(4)[i].as_py(), (ids[i], ths[i], los[i])
+                    if place < known.get(passage, (np.inf,)):
+                        known[passage] = place
+                    continue
+                if machines is None:
+                    machines, known = list(compiled(known, most)), {}
+                raw = batch.column(4)[i].as_py()
+                found = raw.split()
+                stretches = [x for numbers, automaton in machines for x in later(found, (ids[i], ths[i]), numbers, automaton, length)]
+                out.append((ids[i], ths[i], *finish(raw, stretches)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names=["id", "th", *names])
+
+    kinds = T.StructType([T.StructField("id", T.LongType()), T.StructField("th", T.LongType()), *T._parse_datatype_string(result)])
+    texts = docs.select("block", "id", "th", F.lit(None).cast("int").alias("lo"), F.coalesce("text", F.lit("")).cast("binary").alias("passage"))
+    both = passages.select("block", "id", "th", "lo", "passage").unionByName(texts)
+    return both.repartition("block").sortWithinPartitions("block", F.col("lo").asc_nulls_last()).mapInArrow(run, kinds)
 
 
 RESULT = "n_words long, n_removed long, kept_sha256 string"
 
 
-def dedup_phrases(docs: DataFrame, length: int = LENGTH, core: int = CORE, folder: str | None = None, most: int = MOST) -> DataFrame:
+def dedup_phrases(docs: DataFrame, length: int = LENGTH, core: int = CORE, folder: str | None = None, block: int = BLOCK, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256."""
     folder = folder or shared_folder(docs.sparkSession)
-    rows, shape = keyed(docs), Shape(length, core, words=True)
+    rows, shape, names = keyed(docs), Shape(length, core, words=True), [x.split()[0] for x in RESULT.split(", ")]
 
     def finish(raw: bytes, stretches: list[dict]) -> tuple:
         found = raw.split()
@@ -112,7 +131,20 @@ def dedup_phrases(docs: DataFrame, length: int = LENGTH, core: int = CORE, folde
             found = [w for w, g in zip(found, gone) if not g]
         return n, n - len(found), hashlib.sha256(b" ".join(found)).hexdigest()
 
-    return removed(rows, later_windows(rows, shape, folder, most), finish, RESULT, [x.split()[0] for x in RESULT.split(", ")])
+    found: Found = find(rows, shape, folder)
+    places = confirmed_passages(found, rows, shape, folder)
+    passages = stored(passage_texts(places, rows, shape), f"{folder}/passage-texts")
+    blocks = max(1, -(-found.total // block))
+    of = F.pmod(F.xxhash64("id", "th"), F.lit(blocks)).alias("block")
+    # Which blocks have a unit of a passage's core, or of its context where the passage is a whole one.
+    seats = found.candidates.select("core", "context", of).distinct()
+    whole = passages.where("context IS NOT NULL").join(seats, ["core", "context"])
+    part = passages.where("context IS NULL").drop("context").join(seats.select("core", "block").distinct(), "core")
+    dealt = whole.select("block", "id", "th", "lo", "passage").unionByName(part.select("block", "id", "th", "lo", "passage"))
+    # Documents with a unit whose core has a passage; the others hold none.
+    kept = found.candidates.join(places.select("core").distinct(), "core", "left_semi").select("id", "th").distinct()
+    texts = documents_in(rows, kept).join(kept, ["id", "th"]).select(of, "id", "th", "text")
+    return renewed(untouched(rows, finish, RESULT, names), streamed(texts, dealt, finish, RESULT, names, length, automaton_words), names)
 
 
 def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

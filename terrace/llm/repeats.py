@@ -2,10 +2,9 @@
 
 A window is `length` consecutive symbols of one document. Its core is the least hash of the `core` consecutive symbols
 inside it, so equal windows have equal cores. A unit is a stretch of consecutive windows with their core at the same place,
-so no two of them are equal; its context is what its windows cover. Spark counts cores over all units: windows whose core occurs once are unique. Units of equal context
-are settled by that alone. What remains are cores with several contexts: there one unit of each context (the first)
-brings its text, and the operator compares windows exactly, in shards by core. A core with more than MOST contexts isn't
-brought together anywhere: Spark counts its windows by a 128-bit hash.
+so no two of them are equal; its context is what its windows cover. Spark counts cores over all units: windows whose core
+occurs once are unique. Units of equal context are the same passage, by two 64-bit hashes. Of a core with several contexts
+one unit of each context (the first) brings its text.
 """
 
 from __future__ import annotations
@@ -22,7 +21,10 @@ from .common import Rolling, bitmap, grams, in_bitmap, mix, parts, sliding_min,
 
 #: Contexts of a core that one task may hold: some 7 MB of text, and 50 MB of hashes of their windows.
 MOST = 20_000
-CORE_BITS, DOC_BITS = 26, 24
+#: log2 of the most bits of a filter that is broadcast; it has sixteen for each value where that is less.
+MOST_BITS = 28
+#: A key of more rows than this, or than this share of all, is joined apart from the others.
+HOT_ROWS, HOT_SHARE = 2_000, 100_000
 NO_ID = -(2**63)
 
 
@@ -86,10 +88,15 @@ def _doc_hash(ids: np.ndarray, th: np.ndarray) -> np.ndarray:
     return ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + th.astype(np.uint64)
 
 
+def _bits(n: int) -> int:
+    return min(MOST_BITS, max(16, (16 * n).bit_length()))
+
+
 def documents_in(rows: DataFrame, of: DataFrame) -> DataFrame:
-    """rows (id, th, text) whose key may be in `of`: a filter by a bitmap of fixed size, before the join."""
+    """rows (id, th, text) whose key may be in `of`: a filter by a bitmap, before the join; it grows with `of` up to MOST_BITS."""
     at = F.xxhash64("id", "th").alias("at")
-    table = rows.sparkSession.sparkContext.broadcast(bitmap(of.select(at), "at", DOC_BITS))
+    keys = of.select(at).distinct()
+    table = rows.sparkSession.sparkContext.broadcast(bitmap(keys, "at", _bits(keys.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,9 +106,21 @@ def documents_in(rows: DataFrame, of: DataFrame) -> DataFrame:
     return rows.select("id", "th", "text", at).mapInArrow(run, "id long, th long, text string")
 
 
+def join_apart(big: DataFrame, table: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """big joined with a stored table of one row for each key, `weight` being the key's rows in big.
+
+    Keys with very many rows, at most HOT_SHARE of them, are broadcast, so none of them comes to one task.
+    """
+    hot = table.where(F.col(weight) > max(HOT_ROWS, total // HOT_SHARE)).drop(weight)
+    cold = table.where(F.col(weight) <= max(HOT_ROWS, total // HOT_SHARE)).drop(weight)
+    rest = big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
+    return big.join(F.broadcast(hot), on).unionByName(rest)
+
+
 @dataclass
 class Found:
     candidates: DataFrame  # id, th, core, context, lo, hi: units whose core occurs more than once
+    total: int  # how many these are
     contexts: DataFrame  # core, context, many (units), id, th, lo, hi (of the first): each context of these cores
     branching: DataFrame  # those of the contexts whose core has others too, with n, the number of its contexts
 
@@ -118,8 +137,9 @@ def find(rows: DataFrame, shape: Shape, folder: str) -> Found:
     small_batches(rows.sparkSession)
     every = rows.select("text").mapInArrow(counted, "core long, context long")
     cores = every.groupBy("core").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("z")).where("n > 1")
-    cores = stored(cores.select("core", (F.col("a") != F.col("z")).alias("branching")), f"{folder}/cores")
-    table = rows.sparkSession.sparkContext.broadcast(bitmap(cores, "core", CORE_BITS))
+    cores = stored(cores.select("core", "n", (F.col("a") != F.col("z")).alias("branching")), f"{folder}/cores")
+    many, total = cores.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    table = rows.sparkSession.sparkContext.broadcast(bitmap(cores, "core", _bits(many)))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,12 +151,13 @@ def find(rows: DataFrame, shape: Shape, folder: str) -> Found:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row], th[row], core[ok].view(np.int64), context[ok].view(np.int64), lo[ok].astype(np.int32), hi[ok].astype(np.int32))], names=["id", "th", "core", "context", "lo", "hi"])
 
     units = rows.mapInArrow(placed, "id long, th long, core long, context long, lo int, hi int")
-    candidates = stored(units.join(cores, "core"), f"{folder}/candidates")
+    units = stored(units, f"{folder}/units")
+    candidates = stored(join_apart(units, cores, ["core"], "n", total), f"{folder}/candidates")
     grouped = candidates.groupBy("core", "context", "branching").agg(F.count("*").alias("many"), F.min(F.struct("id", "th", "lo", "hi")).alias("f"))
     contexts = stored(grouped.select("core", "context", "branching", "many", "f.id", "f.th", "f.lo", "f.hi"), f"{folder}/contexts")
     open_ = contexts.where("branching")
     size = open_.groupBy("core").agg(F.count("*").alias("n"))
-    return Found(candidates, contexts, stored(open_.join(size, "core").drop("branching"), f"{folder}/branching"))
+    return Found(candidates, total, contexts, stored(open_.join(size, "core").drop("branching"), f"{folder}/branching"))
 
 
 def with_texts(branching: DataFrame, rows: DataFrame) -> DataFrame:
@@ -146,7 +167,7 @@ def with_texts(branching: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _blocks(texts: DataFrame, shape: Shape) -> DataFrame:
-    """id, th, lo, hi, many, ba, bb, windows: stretches of the units' windows, cut at fixed distances from their core.
+    """id, th, core, lo, hi, many, ba, bb, windows: stretches of the units' windows, cut at fixed distances from their core.
 
     ba, bb: a 128-bit hash of what a stretch covers. windows: such hashes of each of its windows.
     """
@@ -161,7 +182,7 @@ def _blocks(texts: DataFrame, shape: Shape) -> DataFrame:
                 symbols, _ = shape.symbols(data, np.array([0, len(data)]))
                 one, two = Rolling(symbols), Rolling(mix(symbols.astype(np.uint64) + np.uint64(1)), 2)
                 anchors = shape.anchors(shape.cores(symbols))
-                lo, hi, many = [], [], []
+                lo, hi, many, core = [], [], [], []
                 for u in batch.column(3)[i].as_py():
                     anchor, at = int(anchors[u["lo"]]), u["lo"]
                     while at <= u["hi"]:
@@ -169,6 +190,7 @@ def _blocks(texts: DataFrame, shape: Shape) -> DataFrame:
                         lo.append(at)
                         hi.append(last)
                         many.append(u["many"])
+                        core.append(u["core"])
                         at = last + 1
                 a, z = np.array(lo), np.array(hi)
                 sizes = z - a + 1
@@ -176,38 +198,54 @@ def _blocks(texts: DataFrame, shape: Shape) -> DataFrame:
                 hashes = [pa.array(h.between(every, every + shape.length).view(np.int64)) for h in (one, two)]
                 windows = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.StructArray.from_arrays(hashes, ["wa", "wb"]))
                 n = len(lo)
-                arrays = [pa.array([name] * n, pa.int64()), pa.array([th] * n, pa.int64()), pa.array(a, pa.int32()), pa.array(z, pa.int32()), pa.array(many, pa.int64())]
+                arrays = [pa.array([name] * n, pa.int64()), pa.array([th] * n, pa.int64()), pa.array(core, pa.int64()), pa.array(a, pa.int32()), pa.array(z, pa.int32()), pa.array(many, pa.int64())]
                 arrays += [pa.array(h.between(a, z + shape.length).view(np.int64)) for h in (one, two)]
-                yield pa.RecordBatch.from_arrays([*arrays, windows.cast(pair)], names=["id", "th", "lo", "hi", "many", "ba", "bb", "windows"])
+                yield pa.RecordBatch.from_arrays([*arrays, windows.cast(pair)], names=["id", "th", "core", "lo", "hi", "many", "ba", "bb", "windows"])
+
+    return texts.mapInArrow(run, "id long, th long, core long, lo int, hi int, many long, ba long, bb long, windows array<struct<wa:bigint,wb:bigint>>")
+
 
-    return texts.mapInArrow(run, "id long, th long, lo int, hi int, many long, ba long, bb long, windows array<struct<wa:bigint,wb:bigint>>")
+def _distinct_blocks(branching: DataFrame, rows: DataFrame, shape: Shape, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Stretches of these contexts' windows, and the first of each content, with how many there are (n) and stand for (total)."""
+    blocks = stored(_blocks(with_texts(branching, rows), shape), f"{folder}/blocks")
+    each = blocks.groupBy("ba", "bb").agg(F.count("*").alias("n"), F.sum("many").alias("total"), F.min(F.struct("id", "th", "lo", "hi", "core", "windows")).alias("f"))
+    return blocks, stored(each.select("ba", "bb", "n", "total", "f.*"), f"{folder}/distinct-blocks")
 
 
-def crowded_windows(crowded: DataFrame, rows: DataFrame, shape: Shape, folder: str, earlier: bool) -> DataFrame:
+def _each_window(blocks: DataFrame) -> DataFrame:
+    found = blocks.select("id", "th", "core", "lo", "total", F.posexplode("windows").alias("k", "w"))
+    return found.select("id", "th", "core", (F.col("lo") + F.col("k")).alias("at"), "total", "w.wa", "w.wb")
+
+
+def crowded_windows(crowded: DataFrame, rows: DataFrame, shape: Shape, folder: str) -> DataFrame:
     """id, th, lo, hi: repeated windows of cores with very many contexts, without bringing a core's contexts together.
 
-    Blocks of equal content are settled by their number, or by the first of them, as contexts are; then one block of each
-    content brings its windows, which are counted in turn. earlier: of equal windows the first isn't among the result;
-    else all are, but those of contexts that occur again, which are settled elsewhere.
+    Blocks of equal content are settled by their number, as contexts are; then one block of each content brings its
+    windows, which are counted in turn. Left out are those of contexts that occur again, which are settled elsewhere.
     """
-    blocks = stored(_blocks(with_texts(crowded, rows), shape), f"{folder}/blocks")
-    each = blocks.groupBy("ba", "bb").agg(F.sum("many").alias("total"), F.min(F.struct("id", "th", "lo", "hi", "windows")).alias("f"))
-    each = stored(each.select("ba", "bb", "total", "f.*"), f"{folder}/distinct-blocks")
-    windows = each.select("id", "th", "lo", "total", F.posexplode("windows").alias("k", "w")).select("id", "th", (F.col("lo") + F.col("k")).alias("at"), "total", "w.wa", "w.wb")
-    place = F.struct("id", "th", "at")
-    twice = windows.groupBy("wa", "wb").agg(F.sum("total").alias("sum"), F.min(place).alias("f"), F.max(place).alias("l"))
-    if earlier:
-        first = each.select("ba", "bb", F.struct("id", "th", "lo").alias("f"))
-        settled = blocks.join(first, ["ba", "bb"]).where(F.struct("id", "th", "lo") != F.col("f"))
-        twice = twice.where("f != l").select("wa", "wb", "f")
-        found = windows.join(stored(twice, f"{folder}/twice"), ["wa", "wb"]).where(place != F.col("f"))
-    else:
-        settled = blocks.where("many = 1").join(each.where("total > 1").select("ba", "bb"), ["ba", "bb"])
-        twice = twice.where("sum > 1").select("wa", "wb")
-        found = windows.where("total = 1").join(stored(twice, f"{folder}/twice"), ["wa", "wb"])
+    blocks, each = _distinct_blocks(crowded, rows, shape, folder)
+    windows = _each_window(each)
+    twice = windows.groupBy("wa", "wb").agg(F.sum("total").alias("sum")).where("sum > 1").select("wa", "wb")
+    settled = blocks.where("many = 1").join(each.where("total > 1").select("ba", "bb"), ["ba", "bb"])
+    found = windows.where("total = 1").join(stored(twice, f"{folder}/twice"), ["wa", "wb"])
     return settled.select("id", "th", "lo", "hi").union(found.select("id", "th", F.col("at").alias("lo"), F.col("at").alias("hi")))
 
 
+def confirmed_passages(found: Found, rows: DataFrame, shape: Shape, folder: str) -> DataFrame:
+    """core, context, id, th, lo, hi: first places of passages that occur at several places, by counts over all documents.
+
+    Whole contexts that occur again; and of cores with several contexts (context null here) the stretches, and single
+    windows, that several contexts have.
+    """
+    whole = found.contexts.where("many > 1").select("core", "context", "id", "th", "lo", "hi")
+    _, each = _distinct_blocks(found.branching, rows, shape, folder)
+    several = each.where("n > 1").select("core", F.lit(None).cast("long").alias("context"), "id", "th", "lo", "hi")
+    place = F.struct("id", "th", "at")
+    twice = _each_window(each).groupBy("wa", "wb").agg(F.min("core").alias("core"), F.min(place).alias("f"), F.max(place).alias("l")).where("f != l")
+    single = twice.select("core", F.lit(None).cast("long").alias("context"), "f.id", "f.th", F.col("f.at").alias("lo"), F.col("f.at").alias("hi"))
+    return stored(whole.unionByName(several).unionByName(single), f"{folder}/passages")
+
+
 def spans(covered: DataFrame) -> DataFrame:
     """id, th, spans: for each document the stretches (lo, hi) of windows found. At most a document's windows."""
     return covered.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
@@ -230,29 +268,38 @@ def runs_of(places: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(places[np.append(0, cut + 1)].tolist(), places[np.append(cut, len(places) - 1)].tolist()))
 
 
-def removed(docs_: DataFrame, covered: DataFrame, finish: Callable, result: str, names: list[str]) -> DataFrame:
-    """One row for each row of docs_ (keyed): its columns `names`, made by finish(raw bytes, stretches or [])."""
+def untouched(docs_: DataFrame, finish: Callable, result: str, names: list[str]) -> DataFrame:
+    """id, th and the columns `names` of each row of docs_ (keyed), made by finish(raw bytes, [])."""
     import pyspark.sql.types as T
 
-    by = spans(covered)
-
-    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in parts(batch.column(2), 1 << 20):
+            for a, b, data, offsets in parts(batch.column(2)):
                 raw = data.tobytes()
                 made = [finish(raw[offsets[i] : offsets[i + 1]], []) for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *[pa.array(x) for x in zip(*made)]], names=["id", "th", *names])
 
+    return docs_.mapInArrow(run, T.StructType([T.StructField("id", T.LongType()), T.StructField("th", T.LongType()), *T._parse_datatype_string(result)]))
+
+
+def renewed(every: DataFrame, touched: DataFrame, names: list[str]) -> DataFrame:
+    """doc_id and `names` of every document, as touched (id, th and the same names) has them where it has the document."""
+    new = touched.select("id", "th", *[F.col(x).alias(f"new_{x}") for x in names]).dropDuplicates(["id", "th"])
+    out = every.join(new, ["id", "th"], "left")
+    return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), *[F.coalesce(f"new_{x}", x).alias(x) for x in names])
+
+
+def removed(docs_: DataFrame, covered: DataFrame, finish: Callable, result: str, names: list[str]) -> DataFrame:
+    """One row for each row of docs_ (keyed): its columns `names`, made by finish(raw bytes, stretches or [])."""
+    by = spans(covered)
+    every = untouched(docs_, finish, result, names)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in parts(batch.column(2), 1 << 20):
+            for a, b, data, offsets in parts(batch.column(2)):
                 raw, lists = data.tobytes(), batch.column(3).slice(a, b - a).to_pylist()
                 made = [finish(raw[offsets[i] : offsets[i + 1]], lists[i]) for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *[pa.array(x) for x in zip(*made)]], names=["id", "th", *[f"new_{x}" for x in names]])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *[pa.array(x) for x in zip(*made)]], names=["id", "th", *names])
 
-    kinds = T._parse_datatype_string(result)
-    every = docs_.mapInArrow(plain, T.StructType([T.StructField("id", T.LongType()), T.StructField("th", T.LongType()), *kinds]))
-    touched = documents_in(docs_, by.select("id", "th")).join(by, ["id", "th"]).mapInArrow(cut, T.StructType([T.StructField("id", T.LongType()), T.StructField("th", T.LongType()), *[T.StructField(f"new_{f.name}", f.dataType) for f in kinds]]))
-    touched = touched.dropDuplicates(["id", "th"])
-    out = every.join(touched, ["id", "th"], "left")
-    return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), *[F.coalesce(f"new_{x}", x).alias(x) for x in names])
+    touched = documents_in(docs_, by.select("id", "th")).join(by, ["id", "th"]).mapInArrow(cut, every.schema)
+    return renewed(every, touched, names)

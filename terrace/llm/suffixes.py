@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Rolling, shared_folder, stored
-from .repeats import MOST, Found, Shape, cover, crowded_windows, find, keyed, removed, runs_of, with_texts
+from .repeats import MOST, Found, Shape, cover, crowded_windows, find, join_apart, keyed, removed, runs_of, with_texts
 
 LENGTH, CORE = 200, 64
 #: Suffixes a shard has, about; and those a task sorts at a time.
@@ -232,14 +232,14 @@ def merged_shards(runs: DataFrame, shape: Shape, shards: int) -> DataFrame:
 def repeated_windows(rows: DataFrame, shape: Shape, folder: str, most: int = MOST) -> DataFrame:
     """id, th, lo, hi: stretches of windows that start anywhere else too."""
     found: Found = find(rows, shape, folder)
-    again = found.contexts.where("many > 1").select("core", "context")
-    settled = found.candidates.join(again, ["core", "context"]).select("id", "th", "lo", "hi")
+    again = found.contexts.where("many > 1").select("core", "context", "many")
+    settled = join_apart(found.candidates, again, ["core", "context"], "many", found.total).select("id", "th", "lo", "hi")
     usual, crowded = found.branching.where(F.col("n") <= most), found.branching.where(F.col("n") > most)
     shards = max(1, -(-usual.count() // SHARD))
     merged = merged_shards(stored(sorted_runs(with_texts(usual, rows), shape, shards), f"{folder}/runs"), shape, shards)
     covered = settled.union(merged)
     if not crowded.isEmpty():
-        covered = covered.union(crowded_windows(crowded, rows, shape, folder, earlier=False))
+        covered = covered.union(crowded_windows(crowded, rows, shape, folder))
     return stored(covered, f"{folder}/covered")
 
 

@@ -14,6 +14,8 @@ import numpy as np
 
 #: Bytes of a worker's piece table, about; beyond it the table starts anew, so its memory is bounded.
 TABLE_BYTES = 64 << 20
+#: Of an entry, as measured: a piece and its ids, most of them short.
+ENTRY_BYTES = 110
 #: Texts are cut and looked up in groups of about so many characters.
 GROUP_CHARS = 1_000_000
 #: Characters on whose class Unicode versions differ; texts with one are encoded whole.
@@ -92,8 +94,7 @@ class Encoder:
         if self.size > TABLE_BYTES:
             self.table.clear()
             self.size = 0
-        # Two objects of some 50 bytes, their contents, and the table's own entry.
-        self.size += sum(200 + 5 * len(x) for x in missing)
+        self.size += ENTRY_BYTES * len(missing)
         table, made, alone = self.table, [], set()
         for x in missing:
             y = x[2:] if x[:2] == " \n" else x

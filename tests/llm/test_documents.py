@@ -122,14 +122,61 @@ def brute_kneser_ney(texts):
         for g, c in orders[k].items():
             under = p[g[1:]] if k > 1 else 1 / 256
             p[g] = max(0.0, c - d[min(c, 3) - 1]) / total[g[:-1]] + spared[g[:-1]] / total[g[:-1]] * under
-    return {g: v for g, v in p.items() if len(g) == 4}
+    return p
 
 
-def test_model_and_bands(spark):
+def brute_log_p(p, texts, text):
+    """Of a text under the model by dictionaries, which backs off where an n-gram wasn't counted."""
+    grams = Counter()
+    for t in texts:
+        b = b"\0\0\0" + t.encode()
+        for i in range(3, len(b)):
+            grams[b[i - 3 : i + 1]] += 1
+    orders = {4: grams}
+    for k in (3, 2, 1):
+        orders[k] = Counter(g[1:] for g in orders[k + 1])
+    spared = {}
+    for k in (1, 2, 3, 4):
+        by = defaultdict(list)
+        for g, c in orders[k].items():
+            by[g[:-1]].append((g, c))
+        for h, held in by.items():  # what the counted leave, spread over all bytes by the shorter model
+            under = lambda g: p[g[1:]] if k > 1 else 1 / 256  # noqa: B023, E731
+            g, c = held[0]
+            t = [sum(x == i for x in orders[k].values()) for i in (1, 2, 3, 4)]
+            y = t[0] / (t[0] + 2 * t[1]) if t[0] + 2 * t[1] else None
+            d = [max(0.0, i - (i + 1) * y * t[i] / t[i - 1]) if y is not None and t[i - 1] else 0.5 for i in (1, 2, 3)]
+            spared[h] = sum(d[min(x, 3) - 1] for _, x in held) / sum(x for _, x in held)
+    total, b = 0.0, b"\0\0\0" + text.encode()
+    for i in range(3, len(b)):
+        g, w = b[i - 3 : i + 1], 1.0
+        while g and g not in p:
+            w *= spared.get(g[:-1], 1.0)
+            g = g[1:]
+        total += math.log(w * (p[g] if g else 1 / 256))
+    return total
+
+
+@pytest.mark.parametrize("most", [10**6, 700])
+def test_hash_arrays_back_off(spark, most, tmp_path):
+    """Texts with n-grams that were never counted, by one array and by shards."""
+    texts, fresh = [prose(i, 30) for i in range(40)], [prose(99, 30), "ÄÖ zq zq! \x01~", "the the 77 the"]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(100, "wort " * 9, "de")], "doc_id long, text string, lang string")
+    model = quality.kneser_ney(quality.ngram_counts(df), str(tmp_path / "m"))
+    shards = list(quality.hash_arrays(model, most))
+    assert len(shards) == (1 if most > 700 else shards[0].shards) and (most > 700 or len(shards) > 2)
+    p = brute_kneser_ney(texts)
+    new = spark.createDataFrame([(i, t, "en") for i, t in enumerate(fresh)], df.schema)
+    got = {r.doc_id: r.log_perplexity for r in quality._scored_by_all(new, iter(shards), str(tmp_path / "s")).collect()}
+    for i, t in enumerate(fresh):
+        assert math.isclose(-got[i] * len(t.encode()), brute_log_p(p, texts, t), rel_tol=1e-5)
+
+
+def test_model_and_bands(spark, tmp_path):
     texts = [prose(i, 80) for i in range(60)]
     df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(900, "|".join(prose(9, 90).split()[::-1]).replace("|", " | x~"), "en")], "doc_id long, text string, lang string")
     grams = quality.ngram_counts(df.where("doc_id < 900"))
-    model = {r.gram.to_bytes(4, "big"): r.p for r in quality.kneser_ney(grams).collect()}
+    model = {r.gram.to_bytes(r.order, "big"): r.p for r in quality.kneser_ney(grams, str(tmp_path)).where("p IS NOT NULL").collect()}
     expected = brute_kneser_ney(texts)
     assert model.keys() == expected.keys() and all(math.isclose(model[g], expected[g], rel_tol=1e-9) for g in expected)
     got = {r.doc_id: r for r in quality.quality(df).collect()}
@@ -219,7 +266,7 @@ def test_names_that_clash(spark, edges):
 def test_multi_index_finds_every_fingerprint():
     r = np.random.default_rng(2)
     prints = r.integers(0, 2**63, 40, dtype=np.uint64)
-    queries = np.concatenate([prints ^ np.uint64(sum(1 << int(b) for b in r.choice(64, k, replace=False))) for k in (0, 5, 12, 19, 20, 21, 30)])
+    queries = np.concatenate([prints ^ np.uint64(sum(1 << int(b) for b in r.choice(64, k, replace=False))) for k in (0, 5, 12, 19, 22, 23, 24, 30)])
     q, p = MultiIndex(prints).search(queries)
     every = {(i, j) for i in range(len(queries)) for j in range(40) if distance(queries[i : i + 1], prints[j : j + 1])[0] <= decontaminate.RADIUS}
     assert set(zip(q.tolist(), p.tolist())) == every and len(q) == len(every)
@@ -266,12 +313,18 @@ def test_contamination(spark):
     assert {(r.doc_id, r.item_id) for r in got} == expected and len(got) == len(expected) and len(expected) > 20
 
 
+def test_recall_of_fingerprints(spark):
+    d = "/root/testdata/sf0.01"
+    found, there = decontaminate.recall(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet"))
+    assert found == there > 20
+
+
 def test_contamination_edges(spark, edges, nothing, monkeypatch):
     bench = spark.createDataFrame([(1, prose(3, 40)), (2, None)], "item_id long, text string")
     assert {r.doc_id for r in contaminated(edges, bench).collect()} == {8, 9}
     assert decontaminate.decontaminate(edges, bench).count() == len(edge_rows()) - 2
     assert contaminated(nothing, bench).count() == 0 and contaminated(edges, bench.where("false")).count() == 0
-    monkeypatch.setattr(decontaminate, "BROADCAST_ITEMS", 1)  # several groups of items
+    monkeypatch.setattr(decontaminate, "GROUP_BYTES", 100)  # several groups of items
     assert {r.doc_id for r in contaminated(edges, bench.union(spark.createDataFrame([(3, prose(1, 30)), (4, prose(2, 30))], bench.schema))).collect()} == {5, 6, 7, 8, 9, -7}
 
 

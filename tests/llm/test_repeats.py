@@ -83,11 +83,12 @@ def test_suffix_dedup_is_exact(spark, most, bytewise, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_bytes([t.encode() for t in texts], 60)
 
 
-@pytest.mark.parametrize("most", [1000, 2])
-def test_phrase_dedup_is_exact(spark, most):
+@pytest.mark.parametrize("block", [40_000, 150])
+@pytest.mark.parametrize("automaton", [1_000_000, 100])
+def test_phrase_dedup_is_exact(spark, block, automaton):
     texts = drawn(2)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = Counter(tuple(r)[1:] for r in phrases.dedup_phrases(df, length=10, core=4, most=most).collect())
+    got = Counter(tuple(r)[1:] for r in phrases.dedup_phrases(df, length=10, core=4, block=block, automaton_words=automaton).collect())
     assert got == brute_words([(i, t.encode()) for i, t in enumerate(texts)], 10)
 
 
@@ -104,6 +105,17 @@ def test_windows_that_occur_again(monkeypatch, bytewise):
     assert [x.tolist() for x in suffixes._repeated(held, 5)] == [[s for s in range(n) if seen[t[s : s + 5]] > 1] for t, n, *_ in held]
 
 
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    from terrace.llm import repeats
+
+    monkeypatch.setattr(repeats, "HOT_ROWS", 3)
+    texts = drawn(3)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: tuple(r)[1:] for r in dedup_bytes(df, length=60, core=20).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_bytes([t.encode() for t in texts], 60)
+    assert Counter(tuple(r)[1:] for r in phrases.dedup_phrases(df, length=10, core=4).collect()) == brute_words([(i, t.encode()) for i, t in enumerate(texts)], 10)
+
+
 def test_edges_of_bytes(edges, nothing):
     got = Counter(tuple(r)[1:] for r in dedup_bytes(edges).collect())
     assert got == Counter(brute_bytes([(r[1] or "").encode() for r in edge_rows()], 200))

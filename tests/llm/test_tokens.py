@@ -34,7 +34,7 @@ def test_pieces_encode_as_the_whole_text():
 def test_table_is_bounded(monkeypatch):
     from terrace.llm import tokens
 
-    monkeypatch.setattr(tokens, "TABLE_BYTES", 900)
+    monkeypatch.setattr(tokens, "TABLE_BYTES", 500)
     own, other = Encoder(tokenizer_path()), library()
     for text in ("some words here and there", "other words, there and here.", "some words here and there\nagain and again"):
         assert own.encode([text])[0] == np.array(other.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
