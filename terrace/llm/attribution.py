@@ -5,8 +5,9 @@ interval-joined with the document's sections (both sorted; a binary search per t
 allocated by a rule: "start" gives it to the section of its first character, "majority" to the one with most of its
 characters (the earlier of equals), "fraction" to each in proportion to its characters.
 
-Sections are given as array<struct<name string, start int, end int>> over the text's code points, ascending and
-disjoint; characters outside all sections form the section null. By default each line, with its line feed, is a section
+Sections are given as array<struct<name string, start int, end int>> over the text's code points; they are taken in order
+of their starts, those without a start or an end are left out, and sections that overlap, or end before they start, are an
+error. Characters outside all sections form the section null. By default each line, with its line feed, is a section
 named by its number. Null and empty texts give no rows. Rows that repeat, or repeat an id, give their rows each.
 """
 
@@ -91,6 +92,9 @@ def count_tokens(docs: DataFrame, sections: str | None = None, rule: str = "star
                         names = None
                     else:
                         rows = [(x["start"], x["end"], x["name"]) for x in parts or [] if x and x["start"] is not None and x["end"] is not None]
+                        rows.sort(key=lambda x: x[:2])
+                        if any(a > b for a, b, _ in rows) or any(x[1] > y[0] for x, y in zip(rows, rows[1:])):
+                            raise ValueError(f"sections of document {doc} overlap or end before they start")
                         starts, ends, names = np.array([x[0] for x in rows], np.int64), np.array([x[1] for x in rows], np.int64), [x[2] for x in rows]
                     counts, crossing = attribute(spans, starts, ends, rule)
                     k = len(starts)

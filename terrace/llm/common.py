@@ -39,6 +39,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
+def dealt(df: DataFrame, *by: str, most: int | None = None) -> DataFrame:
+    """df dealt over tasks by columns. As many tasks as the session's shuffles have (or `most`, if fewer), which adaptive
+    execution leaves alone: what follows takes long for its bytes."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(1, min(n, most or n)), *by)
+
+
 def private(columns: list[str], *names: str) -> list[str]:
     """The names, each with as many underscores before it as it takes to be in no column's way (letter case aside)."""
     taken, out = {c.lower() for c in columns}, []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, grams, mix, parts, private, shared_folder, small_batches, stored, words
+from .common import LOWER, Rolling, dealt, grams, mix, parts, private, shared_folder, small_batches, stored, words
 from .graph import components
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 75, 32, 4
@@ -143,7 +143,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     members = members.join(texts.select(F.col("id").alias("a"), F.col("th").alias("ath"), "text"), ["a", "ath"])
     centres = runs.join(texts.select(F.col("id").alias("b"), F.col("th").alias("bth"), "text"), ["b", "bth"])
     centres = centres.select("b", "bth", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(None).cast("long").alias("a"), "text")
-    rows = members.select(*near, "a", "text").unionByName(centres).repartition(*near).sortWithinPartitions(*near, F.col("a").asc_nulls_first())
+    rows = members.select(*near, "a", "text").unionByName(centres)
+    rows = dealt(rows, *near).sortWithinPartitions(*near, F.col("a").asc_nulls_first())
     return rows.mapInArrow(run, "a long, b long")
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, stored
+from .common import dealt, shared_folder, stored
 from .repeats import Found, Shape, confirmed_passages, cover, documents_in, find, keyed, renewed, untouched
 
 LENGTH, CORE = 20, 8
@@ -112,7 +112,7 @@ def streamed(docs: DataFrame, passages: DataFrame, finish, result: str, names: l
     kinds = T.StructType([T.StructField("id", T.LongType()), T.StructField("th", T.LongType()), *T._parse_datatype_string(result)])
     texts = docs.select("block", "id", "th", F.lit(None).cast("int").alias("lo"), F.coalesce("text", F.lit("")).cast("binary").alias("passage"))
     both = passages.select("block", "id", "th", "lo", "passage").unionByName(texts)
-    return both.repartition("block").sortWithinPartitions("block", F.col("lo").asc_nulls_last()).mapInArrow(run, kinds)
+    return dealt(both, "block").sortWithinPartitions("block", F.col("lo").asc_nulls_last()).mapInArrow(run, kinds)
 
 
 RESULT = "n_words long, n_removed long, kept_sha256 string"
@@ -140,11 +140,11 @@ def dedup_phrases(docs: DataFrame, length: int = LENGTH, core: int = CORE, folde
     seats = found.candidates.select("core", "context", of).distinct()
     whole = passages.where("context IS NOT NULL").join(seats, ["core", "context"])
     part = passages.where("context IS NULL").drop("context").join(seats.select("core", "block").distinct(), "core")
-    dealt = whole.select("block", "id", "th", "lo", "passage").unionByName(part.select("block", "id", "th", "lo", "passage"))
+    routed = whole.select("block", "id", "th", "lo", "passage").unionByName(part.select("block", "id", "th", "lo", "passage"))
     # Documents with a unit whose core has a passage; the others hold none.
     kept = found.candidates.join(places.select("core").distinct(), "core", "left_semi").select("id", "th").distinct()
     texts = documents_in(rows, kept).join(kept, ["id", "th"]).select(of, "id", "th", "text")
-    return renewed(untouched(rows, finish, RESULT, names), streamed(texts, dealt, finish, RESULT, names, length, automaton_words), names)
+    return renewed(untouched(rows, finish, RESULT, names), streamed(texts, routed, finish, RESULT, names, length, automaton_words), names)
 
 
 def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ from .common import shared_folder, small_batches, stored
 from .tokens import Encoder, crc, tokenizer_path
 
 LANES, BLOCK, SEGMENT, SCALE = 128, 1 << 16, 1 << 21, 20
+#: Bytes of text in a range of ids, about, where the session's shuffles have fewer tasks than that makes.
+RANGE_BYTES = 64 << 20
 _HEAD = struct.Struct("<4sIIIIQII")
 _LOW = np.uint64(1 << 31)
 
@@ -182,13 +184,15 @@ SEGMENTS = "part int, segment int, documents long, ids long, data binary"
 def write_token_files(docs: DataFrame, out: str, path: str | None = None, end_id: int = 2, segment: int = SEGMENT) -> DataFrame:
     """Writes the documents' ids in ascending doc_id order below `out` and returns the segments as read from there.
 
-    Rows are dealt by ranges of doc_id, so part and segment number order all ids of the corpus. A document that is longer
+    Rows are dealt by ranges of doc_id and text hash, so part and segment number order all ids of the corpus, and rows of
+    one id don't have to share a task. A document that is longer
     than a segment has one of its own.
     """
     spark = docs.sparkSession
     path = path or tokenizer_path()
     small_batches(spark)
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -216,7 +220,8 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None, end_id
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text")
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     return stored(ordered.mapInArrow(run, SEGMENTS), out, "uncompressed")
 
 

@@ -159,6 +159,11 @@ def test_token_counts(spark, edges, nothing):
     rows = count_tokens(given, "parts", "fraction").collect()
     assert sum(r.n_tokens for r in rows if r.doc_id == 1) == pytest.approx(len(t.encode("title body").ids))
     assert {r.doc_id for r in rows} == {1, 2}
+    backwards = spark.createDataFrame([(1, "title body", [("b", 6, 10), ("t", 0, 5)])], given.schema)
+    assert [(r.name, r.n_tokens) for r in count_tokens(backwards, "parts").collect()] == [(r.name, r.n_tokens) for r in count_tokens(given, "parts").where("doc_id = 1").collect()]
+    for wrong in ([("a", 0, 5), ("b", 4, 9)], [("a", 5, 2)]):
+        with pytest.raises(Exception, match="overlap"):
+            count_tokens(spark.createDataFrame([(1, "title body", wrong)], given.schema), "parts").collect()
     assert count_tokens(nothing).count() == 0
     with pytest.raises(ValueError):
         count_tokens(edges, rule="none")
