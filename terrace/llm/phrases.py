@@ -5,7 +5,8 @@ document of smaller id, or earlier in its own). Spark confirms recurring passage
 repeats): whole contexts of a core that occur again, and stretches and single windows that several contexts share. Of each
 the first place is known.
 
-Documents are dealt over blocks by a hash. A passage goes to the blocks that hold a unit with its core, in a task with
+Documents are dealt over blocks by the least hash of what they may share with others, so that copies tend to meet, and
+groups of more than COPIES documents are parted. A passage goes to the blocks that hold a unit with its core, in a task with
 their documents; there an Aho-Corasick automaton over word numbers is compiled from the block's passages (several, one
 after another, where they are very many), and the whole text of every document with such a unit streams through it. Each
 occurrence that comes after the passage's first place is removed. A passage that all documents hold is in every block's
@@ -26,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dealt, shared_folder, stored
+from .common import dealt, few, shared_folder, stored
 from .repeats import Found, Shape, confirmed_passages, cover, documents_in, find, keyed, renewed, untouched
 
 LENGTH, CORE = 20, 8
 #: Units with a repeated core that a block has, about; and words of the passages in one automaton.
 BLOCK, AUTOMATON_WORDS = 40_000, 1_000_000
+#: Documents of one least hash that share a block.
+COPIES = 500
 
 
 def passage_texts(places: DataFrame, rows: DataFrame, shape: Shape) -> DataFrame:
@@ -76,7 +79,7 @@ def later(words: list[bytes], place: tuple[int, int], numbers: dict[bytes, int],
     ids = tuple([numbers.get(w, 0) for w in words])  # 0 is in no passage
     for end, (n, first) in automaton.iter(ids):
         at = end - n + 1
-        if (*place, at) > first:
+        if place > first[:2] or place == first[:2] and at > first[2]:
             yield {"lo": at, "hi": at + n - length}
 
 
@@ -91,18 +94,18 @@ def streamed(docs: DataFrame, passages: DataFrame, finish, result: str, names: l
         block, known, machines = None, {}, None
         for batch in batches:
             out: list[tuple] = []
-            blocks, ids, ths, los = (batch.column(i).to_pylist() for i in range(4))
+            blocks, ids, ths, los, texts = (batch.column(i).to_pylist() for i in range(5))
             for i in range(batch.num_rows):
                 if blocks[i] != block:
                     block, known, machines = blocks[i], {}, None
                 if los[i] is not None:
-                    passage, place = batch.column(4)[i].as_py(), (ids[i], ths[i], los[i])
+                    passage, place = texts[i], (ids[i], ths[i], los[i])
                     if place < known.get(passage, (np.inf,)):
                         known[passage] = place
                     continue
                 if machines is None:
                     machines, known = list(compiled(known, most)), {}
-                raw = batch.column(4)[i].as_py()
+                raw = texts[i]
                 found = raw.split()
                 stretches = [x for numbers, automaton in machines for x in later(found, (ids[i], ths[i]), numbers, automaton, length)]
                 out.append((ids[i], ths[i], *finish(raw, stretches)))
@@ -135,15 +138,18 @@ def dedup_phrases(docs: DataFrame, length: int = LENGTH, core: int = CORE, folde
     places = confirmed_passages(found, rows, shape, folder)
     passages = stored(passage_texts(places, rows, shape), f"{folder}/passage-texts")
     blocks = max(1, -(-found.total // block))
-    of = F.pmod(F.xxhash64("id", "th"), F.lit(blocks)).alias("block")
+    leads = found.candidates.where("core = lead").groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") > COPIES)
+    leads = few(stored(leads, f"{folder}/leads"))  # at most one in COPIES of the documents
+    parted = F.coalesce(F.pmod(F.xxhash64("id", "th"), F.ceil(F.col("n") / COPIES)), F.lit(0))
+    placed = found.candidates.join(leads, "lead", "left").withColumn("block", F.pmod(F.xxhash64("lead", parted), F.lit(blocks)))
     # Which blocks have a unit of a passage's core, or of its context where the passage is a whole one.
-    seats = found.candidates.select("core", "context", of).distinct()
+    seats = placed.select("core", "context", "block").distinct()
     whole = passages.where("context IS NOT NULL").join(seats, ["core", "context"])
     part = passages.where("context IS NULL").drop("context").join(seats.select("core", "block").distinct(), "core")
     routed = whole.select("block", "id", "th", "lo", "passage").unionByName(part.select("block", "id", "th", "lo", "passage"))
     # Documents with a unit whose core has a passage; the others hold none.
-    kept = found.candidates.join(places.select("core").distinct(), "core", "left_semi").select("id", "th").distinct()
-    texts = documents_in(rows, kept).join(kept, ["id", "th"]).select(of, "id", "th", "text")
+    kept = stored(placed.join(places.select("core").distinct(), "core", "left_semi").select("id", "th", "block").distinct(), f"{folder}/kept")
+    texts = documents_in(rows, kept).join(kept, ["id", "th"]).select("block", "id", "th", "text")
     return renewed(untouched(rows, finish, RESULT, names), streamed(texts, routed, finish, RESULT, names, length, automaton_words), names)
 
 

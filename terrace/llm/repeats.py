@@ -119,7 +119,7 @@ def join_apart(big: DataFrame, table: DataFrame, on: list[str], weight: str, tot
 
 @dataclass
 class Found:
-    candidates: DataFrame  # id, th, core, context, lo, hi: units whose core occurs more than once
+    candidates: DataFrame  # id, th, core, context, lo, hi, lead (least of its document's cores): units whose core occurs more than once
     total: int  # how many these are
     contexts: DataFrame  # core, context, many (units), id, th, lo, hi (of the first): each context of these cores
     branching: DataFrame  # those of the contexts whose core has others too, with n, the number of its contexts
@@ -147,12 +147,14 @@ def find(rows: DataFrame, shape: Shape, folder: str) -> Found:
             for a, _, data, offsets in parts(batch.column(2)):
                 row, lo, hi, core, context = shape.units(data, offsets)
                 ok = in_bitmap(core, table.value)
-                row = row[ok] + a
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row], th[row], core[ok].view(np.int64), context[ok].view(np.int64), lo[ok].astype(np.int32), hi[ok].astype(np.int32))], names=["id", "th", "core", "context", "lo", "hi"])
-
-    units = rows.mapInArrow(placed, "id long, th long, core long, context long, lo int, hi int")
-    units = stored(units, f"{folder}/units")
-    candidates = stored(join_apart(units, cores, ["core"], "n", total), f"{folder}/candidates")
+                row, core = row[ok], core[ok].view(np.int64)
+                lead = np.full(len(offsets) - 1, np.iinfo(np.int64).max)
+                np.minimum.at(lead, row, core)
+                lead, row = lead[row], row + a
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row], th[row], core, context[ok].view(np.int64), lo[ok].astype(np.int32), hi[ok].astype(np.int32), lead)], names=["id", "th", "core", "context", "lo", "hi", "lead"])
+
+    units = rows.mapInArrow(placed, "id long, th long, core long, context long, lo int, hi int, lead long")
+    candidates = stored(units.join(cores.select("core", "branching"), "core"), f"{folder}/candidates")
     grouped = candidates.groupBy("core", "context", "branching").agg(F.count("*").alias("many"), F.min(F.struct("id", "th", "lo", "hi")).alias("f"))
     contexts = stored(grouped.select("core", "context", "branching", "many", "f.id", "f.th", "f.lo", "f.hi"), f"{folder}/contexts")
     open_ = contexts.where("branching")
@@ -174,7 +176,6 @@ def _blocks(texts: DataFrame, shape: Shape) -> DataFrame:
     step = 4 if shape.words else 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = pa.list_(pa.struct([("wa", pa.int64()), ("wb", pa.int64())]))
         for batch in batches:
             for i in range(batch.num_rows):
                 name, th, raw = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), (batch.column(2)[i].as_py() or "").encode()
@@ -182,25 +183,23 @@ def _blocks(texts: DataFrame, shape: Shape) -> DataFrame:
                 symbols, _ = shape.symbols(data, np.array([0, len(data)]))
                 one, two = Rolling(symbols), Rolling(mix(symbols.astype(np.uint64) + np.uint64(1)), 2)
                 anchors = shape.anchors(shape.cores(symbols))
-                lo, hi, many, core = [], [], [], []
-                for u in batch.column(3)[i].as_py():
-                    anchor, at = int(anchors[u["lo"]]), u["lo"]
-                    while at <= u["hi"]:
-                        last = min(u["hi"], anchor - (anchor - at) // step * step)
-                        lo.append(at)
-                        hi.append(last)
-                        many.append(u["many"])
-                        core.append(u["core"])
-                        at = last + 1
-                a, z = np.array(lo), np.array(hi)
-                sizes = z - a + 1
-                every = np.repeat(a, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                units = batch.column(3)[i].values
+                first, last, many, core = (units.field(x).to_numpy() for x in ("lo", "hi", "many", "core"))
+                # Every window of every unit; a stretch ends where the unit does or the distance to its core passes a step.
+                sizes = last - first + 1
+                unit = np.repeat(np.arange(len(sizes)), sizes)
+                every = np.repeat(first, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                stretch = (anchors[first][unit] - every) // step
+                new = np.ones(len(every), bool)
+                new[1:] = (unit[1:] != unit[:-1]) | (stretch[1:] != stretch[:-1])
+                begin = np.flatnonzero(new)
+                a, z, unit = every[begin], every[np.append(begin[1:], len(every)) - 1], unit[begin]
                 hashes = [pa.array(h.between(every, every + shape.length).view(np.int64)) for h in (one, two)]
-                windows = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.StructArray.from_arrays(hashes, ["wa", "wb"]))
-                n = len(lo)
-                arrays = [pa.array([name] * n, pa.int64()), pa.array([th] * n, pa.int64()), pa.array(core, pa.int64()), pa.array(a, pa.int32()), pa.array(z, pa.int32()), pa.array(many, pa.int64())]
+                windows = pa.ListArray.from_arrays(pa.array(np.append(begin, len(every)), pa.int32()), pa.StructArray.from_arrays(hashes, ["wa", "wb"]))
+                n = len(begin)
+                arrays = [pa.array(np.full(n, name)), pa.array(np.full(n, th)), pa.array(core[unit]), pa.array(a, pa.int32()), pa.array(z, pa.int32()), pa.array(many[unit])]
                 arrays += [pa.array(h.between(a, z + shape.length).view(np.int64)) for h in (one, two)]
-                yield pa.RecordBatch.from_arrays([*arrays, windows.cast(pair)], names=["id", "th", "core", "lo", "hi", "many", "ba", "bb", "windows"])
+                yield pa.RecordBatch.from_arrays([*arrays, windows], names=["id", "th", "core", "lo", "hi", "many", "ba", "bb", "windows"])
 
     return texts.mapInArrow(run, "id long, th long, core long, lo int, hi int, many long, ba long, bb long, windows array<struct<wa:bigint,wb:bigint>>")
 
