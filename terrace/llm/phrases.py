@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import dealt, few, shared_folder, stored
-from .repeats import Found, Shape, confirmed_passages, cover, documents_in, find, keyed, renewed, untouched
+from .repeats import Found, Shape, confirmed_passages, documents_in, find, keyed, renewed, untouched
 
 LENGTH, CORE = 20, 8
 #: Units with a repeated core that a block has, about; and words of the passages in one automaton.
@@ -74,13 +74,16 @@ def compiled(passages: dict[bytes, tuple[int, int, int]], most: int) -> Iterator
         yield numbers, automaton
 
 
-def later(words: list[bytes], place: tuple[int, int], numbers: dict[bytes, int], automaton: object, length: int) -> Iterator[dict]:
-    """Stretches of windows in a document's words that belong to a passage which starts earlier."""
-    ids = tuple([numbers.get(w, 0) for w in words])  # 0 is in no passage
-    for end, (n, first) in automaton.iter(ids):
-        at = end - n + 1
-        if place > first[:2] or place == first[:2] and at > first[2]:
-            yield {"lo": at, "hi": at + n - length}
+def later(words: list[bytes], place: tuple[int, int], machines: list, length: int) -> list[tuple[int, int]]:
+    """First and last windows of the passages in a document's words that also start earlier."""
+    out = []
+    for numbers, automaton in machines:
+        number = numbers.get
+        for end, (n, first) in automaton.iter(tuple([number(w, 0) for w in words])):  # 0 is in no passage
+            at = end - n + 1
+            if place > first[:2] or place == first[:2] and at > first[2]:
+                out.append((at, at + n - length))
+    return out
 
 
 def streamed(docs: DataFrame, passages: DataFrame, finish, result: str, names: list[str], length: int, most: int) -> DataFrame:
@@ -105,10 +108,8 @@ def streamed(docs: DataFrame, passages: DataFrame, finish, result: str, names: l
                     continue
                 if machines is None:
                     machines, known = list(compiled(known, most)), {}
-                raw = texts[i]
-                found = raw.split()
-                stretches = [x for numbers, automaton in machines for x in later(found, (ids[i], ths[i]), numbers, automaton, length)]
-                out.append((ids[i], ths[i], *finish(raw, stretches)))
+                found = texts[i].split()
+                out.append((ids[i], ths[i], *finish(found, later(found, (ids[i], ths[i]), machines, length))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names=["id", "th", *names])
 
@@ -126,12 +127,14 @@ def dedup_phrases(docs: DataFrame, length: int = LENGTH, core: int = CORE, folde
     folder = folder or shared_folder(docs.sparkSession)
     rows, shape, names = keyed(docs), Shape(length, core, words=True), [x.split()[0] for x in RESULT.split(", ")]
 
-    def finish(raw: bytes, stretches: list[dict]) -> tuple:
-        found = raw.split()
+    def kept(found: list[bytes], stretches: list[tuple[int, int]]) -> tuple:
         n = len(found)
         if stretches:
-            gone = cover(n, stretches, length).tolist()
-            found = [w for w, g in zip(found, gone) if not g]
+            edge = np.zeros(n + 1, np.int32)
+            lo, hi = np.array(stretches).T
+            np.add.at(edge, lo, 1)
+            np.add.at(edge, hi + length, -1)
+            found = [w for w, deep in zip(found, np.cumsum(edge[:n]).tolist()) if not deep]
         return n, n - len(found), hashlib.sha256(b" ".join(found)).hexdigest()
 
     found: Found = find(rows, shape, folder)
@@ -148,9 +151,10 @@ def dedup_phrases(docs: DataFrame, length: int = LENGTH, core: int = CORE, folde
     part = passages.where("context IS NULL").drop("context").join(seats.select("core", "block").distinct(), "core")
     routed = whole.select("block", "id", "th", "lo", "passage").unionByName(part.select("block", "id", "th", "lo", "passage"))
     # Documents with a unit whose core has a passage; the others hold none.
-    kept = stored(placed.join(places.select("core").distinct(), "core", "left_semi").select("id", "th", "block").distinct(), f"{folder}/kept")
-    texts = documents_in(rows, kept).join(kept, ["id", "th"]).select("block", "id", "th", "text")
-    return renewed(untouched(rows, finish, RESULT, names), streamed(texts, routed, finish, RESULT, names, length, automaton_words), names)
+    holders = stored(placed.join(places.select("core").distinct(), "core", "left_semi").select("id", "th", "block").distinct(), f"{folder}/holders")
+    texts = documents_in(rows, holders).join(holders, ["id", "th"]).select("block", "id", "th", "text")
+    every = untouched(rows, lambda raw, _: kept(raw.split(), []), RESULT, names)
+    return renewed(every, streamed(texts, routed, kept, RESULT, names, length, automaton_words), names)
 
 
 def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,14 +131,14 @@ def find(rows: DataFrame, shape: Shape, folder: str) -> Found:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in parts(batch.column(0)):
-                _, _, _, core, context = shape.units(data, offsets)
-                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(context.view(np.int64))], names=["core", "context"])
+                core = shape.units(data, offsets)[3]
+                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64))], names=["core"])
 
     small_batches(rows.sparkSession)
-    every = rows.select("text").mapInArrow(counted, "core long, context long")
-    cores = every.groupBy("core").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("z")).where("n > 1")
-    cores = stored(cores.select("core", "n", (F.col("a") != F.col("z")).alias("branching")), f"{folder}/cores")
+    every = rows.select("text").mapInArrow(counted, "core long")
+    cores = stored(every.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"), f"{folder}/cores")
     many, total = cores.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # Units beyond these that the filter lets through have a core of their own and match nothing.
     table = rows.sparkSession.sparkContext.broadcast(bitmap(cores, "core", _bits(many)))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,12 +154,11 @@ def find(rows: DataFrame, shape: Shape, folder: str) -> Found:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[row], th[row], core, context[ok].view(np.int64), lo[ok].astype(np.int32), hi[ok].astype(np.int32), lead)], names=["id", "th", "core", "context", "lo", "hi", "lead"])
 
     units = rows.mapInArrow(placed, "id long, th long, core long, context long, lo int, hi int, lead long")
-    candidates = stored(units.join(cores.select("core", "branching"), "core"), f"{folder}/candidates")
-    grouped = candidates.groupBy("core", "context", "branching").agg(F.count("*").alias("many"), F.min(F.struct("id", "th", "lo", "hi")).alias("f"))
-    contexts = stored(grouped.select("core", "context", "branching", "many", "f.id", "f.th", "f.lo", "f.hi"), f"{folder}/contexts")
-    open_ = contexts.where("branching")
-    size = open_.groupBy("core").agg(F.count("*").alias("n"))
-    return Found(candidates, total, contexts, stored(open_.join(size, "core").drop("branching"), f"{folder}/branching"))
+    candidates = stored(units, f"{folder}/candidates")
+    grouped = candidates.groupBy("core", "context").agg(F.count("*").alias("many"), F.min(F.struct("id", "th", "lo", "hi")).alias("f"))
+    contexts = stored(grouped.select("core", "context", "many", "f.id", "f.th", "f.lo", "f.hi"), f"{folder}/contexts")
+    size = contexts.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
+    return Found(candidates, total, contexts, stored(contexts.join(size, "core"), f"{folder}/branching"))
 
 
 def with_texts(branching: DataFrame, rows: DataFrame) -> DataFrame:
