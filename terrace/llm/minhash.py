@@ -36,6 +36,8 @@ FEW = 32
 HUB = 2_000
 #: log2 of the slots that count shingles of crowded documents; their order, not what is found, depends on it.
 SLOT_BITS = 22
+#: Bytes of text, at least, whose shingles a task counts.
+TALLY_BYTES = 16 << 20
 _EMPTY = np.iinfo(np.uint64).max
 
 
@@ -162,7 +164,9 @@ def shingle_tally(texts: DataFrame) -> np.ndarray:
             some = slots[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(tally[some])], names=["slot", "n"])
 
-    rows = texts.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    # Tasks of some size count a shingle that many texts have once each.
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = texts.select("text").coalesce(max(1, -(-size // TALLY_BYTES))).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << SLOT_BITS, np.int64)
     out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
     return out

@@ -3,7 +3,7 @@
 A window is 20 consecutive words of one document; each word goes that lies in a window which also starts earlier (in a
 document of smaller id, or earlier in its own). Spark confirms recurring passages by counts over all documents (see
 repeats): whole contexts of a core that occur again, and stretches and single windows that several contexts share. Of each
-the first place is known.
+the first place is known. Of documents with the same whole text (by 128 bits) the first takes part for all of them.
 
 Documents are dealt over blocks by the least hash of what they may share with others, so that copies tend to meet, and
 groups of more than COPIES documents are parted. A passage goes to the blocks that hold a unit with its core, in a task with
@@ -137,6 +137,15 @@ def dedup_phrases(docs: DataFrame, length: int = LENGTH, core: int = CORE, folde
             found = [w for w, deep in zip(found, np.cumsum(edge[:n]).tolist()) if not deep]
         return n, n - len(found), hashlib.sha256(b" ".join(found)).hexdigest()
 
+    every = untouched(rows, lambda raw, _: kept(raw.split(), []), RESULT, names)
+    # Of documents with one text the first is searched for all: every word of the others starts earlier, if there is a window.
+    texts = rows.select("id", "th", F.xxhash64(F.lit(1), "text").alias("too"))
+    firsts = texts.groupBy("th", "too").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last")
+    copies = few(stored(texts.join(firsts, ["th", "too"]).where("id != first").select("id", "th").distinct(), f"{folder}/copies"))
+    whole = F.col("copy") & (F.col("n_words") >= length)
+    every = every.join(copies.withColumn("copy", F.lit(True)), ["id", "th"], "left")
+    every = every.withColumns({"n_removed": F.when(whole, F.col("n_words")).otherwise(F.col("n_removed")), "kept_sha256": F.when(whole, F.lit(hashlib.sha256().hexdigest())).otherwise(F.col("kept_sha256"))}).drop("copy")
+    rows = rows.join(copies, ["id", "th"], "left_anti")
     found: Found = find(rows, shape, folder)
     places = confirmed_passages(found, rows, shape, folder)
     passages = stored(passage_texts(places, rows, shape), f"{folder}/passage-texts")
@@ -153,7 +162,6 @@ def dedup_phrases(docs: DataFrame, length: int = LENGTH, core: int = CORE, folde
     # Documents with a unit whose core has a passage; the others hold none.
     holders = stored(placed.join(places.select("core").distinct(), "core", "left_semi").select("id", "th", "block").distinct(), f"{folder}/holders")
     texts = documents_in(rows, holders).join(holders, ["id", "th"]).select("block", "id", "th", "text")
-    every = untouched(rows, lambda raw, _: kept(raw.split(), []), RESULT, names)
     return renewed(every, streamed(texts, routed, kept, RESULT, names, length, automaton_words), names)
 
 

@@ -87,7 +87,7 @@ class Encoder:
         found = text.replace("\n", " \n").replace(" ", "\0 ").split("\0")
         words = text.split()
         # So many words, parted by one character each, and as many spaces and line feeds: no other white space is there.
-        return found if len(found) == len(words) and sum(map(len, words)) + len(words) - 1 == len(text) else None
+        return found if len(found) == len(words) and len("".join(words)) + len(words) - 1 == len(text) else None
 
     def learn(self, missing: set[str]) -> None:
         """Adds the ids of pieces. What follows a line feed, or stands before a last stop or comma, is encoded alone."""
