@@ -1,14 +1,16 @@
 """Planar buffers: the polygon of all points at most a distance from a shape.
 
-A point's buffer is a regular polygon, a Column expression. For segments, polylines and polygons the outline is the
-level line of the distance field around the shape, traced on a grid in an Arrow UDF: rings come out closed, and holes
-and separate parts as rings of their own. Its error is below the cube of a grid step over the distance.
+A point's buffer is a regular polygon and a segment's two sides and two half turns, Column expressions of any size. For
+polylines and polygons the outline is the level line of the distance field around the shape, traced on a grid in an Arrow
+UDF: rings come out closed, and holes and separate parts as rings of their own. Its error is below the cube of a grid step
+over the distance. A shape so long for its distance that the grid would outgrow MOST_POINTS at LEAST_STEPS to the distance
+is an error.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,6 +28,28 @@ def point_buffer(s: Shape, distance: float, sides: int = 64) -> Column:
     return F.when(s.col.isNotNull(), polygon(F.array(F.lit(0)), xs, ys))
 
 
+def segment_buffer(s: Shape, distance: float, sides: int = 64) -> Column:
+    """A half turn around the end, another around the start, and the sides between them."""
+    c, half = s.col, max(1, sides // 2)
+    along = F.atan2(c["endY"] - c["startY"], c["endX"] - c["startX"])
+    # Two half turns of half + 1 vertices each; the last vertex repeats the first.
+    places = F.sequence(F.lit(0), F.lit(2 * half + 2))
+
+    def place(i: Column, start: Column, end: Column, turn: Callable[[Column], Column]) -> Column:
+        j = i % (2 * half + 2)
+        second = j > half
+        angle = along - math.pi / 2 + F.when(second, j - 1).otherwise(j) * (math.pi / half)
+        return F.when(second, start).otherwise(end) + distance * turn(angle)
+
+    xs = F.transform(places, lambda i: place(i, c["startX"], c["endX"], F.cos))
+    ys = F.transform(places, lambda i: place(i, c["startY"], c["endY"], F.sin))
+    return F.when(c.isNotNull(), polygon(F.array(F.lit(0)), xs, ys))
+
+
+#: Points of the grid around one shape, and its steps to the distance where it has to be coarser than asked for.
+MOST_POINTS, LEAST_STEPS = 4_000_000, 4
+
+
 def _edges(indices: list[int], xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
     keep = np.ones(max(1, len(xs) - 1), bool)
     for i in indices[1:]:
@@ -91,8 +115,10 @@ def outline(indices: list[int], xs: list[float], ys: list[float], area: bool, di
     step = distance / steps
     x = np.arange(px.min() - distance - 2 * step, px.max() + distance + 3 * step, step)
     y = np.arange(py.min() - distance - 2 * step, py.max() + distance + 3 * step, step)
-    if len(x) * len(y) > 4_000_000:  # a large shape: a coarser grid, of bounded size
-        f = math.sqrt(len(x) * len(y) / 4_000_000)
+    if len(x) * len(y) > MOST_POINTS:  # a large shape: a coarser grid, of bounded size
+        f = math.sqrt(len(x) * len(y) / MOST_POINTS)
+        if steps / f < LEAST_STEPS:
+            raise ValueError(f"a shape of {px.max() - px.min():g} by {py.max() - py.min():g} is too long for a buffer of {distance:g}: split it, or buffer its segments")
         x, y = np.linspace(x[0], x[-1], max(3, int(len(x) / f))), np.linspace(y[0], y[-1], max(3, int(len(y) / f)))
     field = distance_field(x[:, None] + 0 * y[None, :], 0 * x[:, None] + y[None, :], _edges(list(indices), px, py), area)
     rings = level_rings(x, y, field, distance)
@@ -107,9 +133,9 @@ def buffer(s: Shape, distance: float, steps: int = 24) -> Column:
         raise ValueError("a buffer's distance is positive")
     if s.kind == "point":
         return point_buffer(s, distance, 4 * steps)
-    c = s.col
     if s.kind == "line":
-        c = F.when(c.isNotNull(), F.struct(F.lit(3).alias("type"), F.array(F.lit(0)).alias("indices"), F.array(c["startX"], c["endX"]).alias("xcoordinates"), F.array(c["startY"], c["endY"]).alias("ycoordinates")))
+        return segment_buffer(s, distance, 4 * steps)
+    c = s.col
 
     @F.pandas_udf(MULTI_TYPE)
     def traced(kinds: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import grid, predicates as P
+from ..functions.buffer import buffer
 from ..functions.geojson import polygon_from_json, polygon_to_json
 from ..functions.shapes import Shape, is_valid, length, lines, multis, num_rings, point, points, vertex
 from ..functions.wkt import as_wkt, wkt
@@ -183,6 +184,19 @@ def python_predicate(spark, d):
     return customers(spark, d).select("c_custkey", inside("point.x", "point.y").alias("inside"))
 
 
+@query(f"WITH {SEGMENTS} SELECT o_orderkey, true AS holds_ends, false AS holds_beside, true AS long_thin FROM segs")
+def buffer_segments(spark, d):
+    """Buffers of segments, and of one 1275 long with a distance of 0.01: points inside and beside them."""
+    s, n = Shape(F.col("segment"), "line"), 0.01
+    thin = Shape(F.struct(F.lit(0.0).alias("startX"), F.lit(0.0).alias("startY"), F.lit(1000.0).alias("endX"), F.lit(777.0).alias("endY")), "line")
+    made = segments(spark, d).select("o_orderkey", "segment", buffer(s, 0.5, 8).alias("b"), buffer(thin, n, 8).alias("t"))
+    at = lambda x, y: Shape(point(x, y), "point")
+    within = lambda p, b: P.within(p, multis(b))
+    ends = within(at(s["startX"], s["startY"]), "b") & within(at(s["endX"], s["endY"]), "b")
+    long_thin = within(at(F.lit(-0.005), F.lit(0.0)), "t") & within(at(F.lit(500.0), F.lit(388.5)), "t") & ~within(at(F.lit(500.0), F.lit(388.52)), "t") & within(at(F.lit(1000.005), F.lit(777.0)), "t")
+    return made.select("o_orderkey", ends.alias("holds_ends"), within(at(s["startX"] + 1, s["startY"] - 1), "b").alias("holds_beside"), long_thin.alias("long_thin"))
+
+
 _LOCATED = f"WITH {SQL}, tests AS ({edge_tests(DIAMONDS)}), pairs AS (SELECT c_custkey, n_nationkey FROM tests WHERE NOT on_edge AND above % 2 = 1)"
 
 

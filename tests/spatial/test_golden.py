@@ -142,6 +142,8 @@ def test_buffers(value):
     holed = multis(buffer(multi(polygon, ((0, 0), (0, 9), (9, 9), (9, 0), (0, 0)), ((3, 3), (3, 6), (6, 6), (6, 3), (3, 3))), 0.5))
     assert value(P.within(pt(4.5, 4.5), holed), P.within(pt(3.3, 4), holed), P.within(pt(-0.4, 4), holed), P.within(pt(-0.6, 4), holed), num_rings(holed)) == [False, True, True, False, 2]
     assert value(circle(0, 0, 1)["xmax"])[0] == pytest.approx(1) and math.isclose(value(buffer(seg((0, 0), (2, 0)), 1.0)["ymax"])[0], 1, abs_tol=0.01)
+    with pytest.raises(Exception, match="too long"):
+        value(buffer(multi(polyline, ((0, 0), (1000, 777), (2000, 0))), 0.01))
     assert value(lines(line(0, 0, 1, 1))["xmax"], points(point(1, 2))["y"], ring((0, 0), (1, 0), (0, 0))["xmax"]) == [1.0, 2.0, 1.0]
 
 
