@@ -76,7 +76,7 @@ def _feature(of, coordinates, **properties):
 
 @query(_NAT + """, made AS (SELECT n_name, n_nationkey % 6 AS k, cx, cy FROM nat)
 SELECT n_name AS name, CASE WHEN k IN (0, 1) THEN 'point' WHEN k IN (2, 3) THEN 'polyline' ELSE 'polygon' END AS kind, CASE k WHEN 1 THEN x.i * 1.0 ELSE 0 END AS nth,
-  CASE k WHEN 0 THEN cx WHEN 1 THEN cx + x.i WHEN 2 THEN cx - 24 WHEN 3 THEN cx - 24 WHEN 4 THEN cx - 24 ELSE cx - 24 + x.i * 100 END AS xmin, CASE WHEN k IN (3, 4) THEN 2 WHEN k IN (2, 5) THEN 1 END AS parts
+  CASE k WHEN 0 THEN cx WHEN 1 THEN cx + x.i WHEN 2 THEN cx - 24 WHEN 3 THEN cx - 24 WHEN 4 THEN cx - 24 ELSE cx - 24 + x.i * 100 END AS xmin, CASE WHEN k IN (3, 4) THEN 2 WHEN k IN (2, 5) THEN 1 ELSE 0 END AS parts
 FROM made JOIN (VALUES (0), (1), (2)) x(i) ON x.i = 0 OR (k = 1 AND x.i <= 2) OR (k = 5 AND x.i = 1)""")
 def geojson_collection(spark, d):
     """A feature collection in one file with every geometry type, and its properties."""
@@ -94,7 +94,7 @@ def geojson_collection(spark, d):
     m, b = F.col("metadata"), F.coalesce("polyline", "polygon")
     kind = F.when(F.col("point").isNotNull(), "point").when(F.col("polyline").isNotNull(), "polyline").otherwise("polygon")
     nth = F.when(m["kind"] == "1", F.col("point.x") - m["cx"].cast("double")).otherwise(0.0)
-    return rows.select(m["name"].alias("name"), kind.alias("kind"), nth.alias("nth"), F.coalesce("point.xmin", b["xmin"]).alias("xmin"), F.when(b.isNotNull(), F.size(b["indices"])).alias("parts"))
+    return rows.select(m["name"].alias("name"), kind.alias("kind"), nth.alias("nth"), F.coalesce("point.xmin", b["xmin"]).alias("xmin"), F.when(b.isNotNull(), F.size(b["indices"])).otherwise(0).alias("parts"))
 
 
 @query(_NAT + " SELECT n_name AS name, cx - 24 AS xmin, cy - 12 AS ymin, cx + 24 AS xmax, cy + 12 AS ymax, true AS valid FROM nat")
