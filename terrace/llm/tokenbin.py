@@ -206,16 +206,14 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None, end_id
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, number, len(names), total, data), schema.types)], schema=schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                some = batch.slice(at, 100)
-                for name, ids in zip(some.column(0).to_pylist(), encoder.encode(x or "" for x in some.column(1).to_pylist())):
-                    ids += end
-                    if held and total + len(ids) // 4 > segment:
-                        yield flush()
-                        held, names, total, number = [], [], 0, number + 1
-                    held.append(ids)
-                    names.append(name)
-                    total += len(ids) // 4
+            for name, ids in zip(batch.column(0).to_pylist(), encoder.encode(x or "" for x in batch.column(1).to_pylist())):
+                ids += end
+                if held and total + len(ids) // 4 > segment:
+                    yield flush()
+                    held, names, total, number = [], [], 0, number + 1
+                held.append(ids)
+                names.append(name)
+                total += len(ids) // 4
         if held:
             yield flush()
 

@@ -2,11 +2,13 @@
 
 The `tokenizers` library encodes; equal pieces are encoded once. A piece is what lies between two cuts, and a cut is
 made only where the pre-tokenizer always has a boundary: before a single space or at a single line feed that stands
-between two characters that aren't white space. Texts with other white space are encoded whole.
+between two characters that aren't white space. Texts with other white space are encoded whole. A piece of Latin letters
+alone is one word to the pre-tokenizer, so it goes to the library's model directly.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterable
 
@@ -17,12 +19,21 @@ TABLE_BYTES = 64 << 20
 #: Of an entry, as measured: a piece and its ids, most of them short.
 ENTRY_BYTES = 110
 #: Texts are cut and looked up in groups of about so many characters.
-GROUP_CHARS = 1_000_000
+GROUP_CHARS = 300_000
 #: Characters on whose class Unicode versions differ; texts with one are encoded whole.
 _DOUBTFUL = "\u180e\u200b\u2060\ufeff\0"
+#: Letters below this code are the same in all Unicode versions in use: Latin ones.
+_LATIN = "\u0250"
 _KEPT: dict[str, Encoder] = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that byte-level vocabularies use for each byte: its own if printable, else the next from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Place of a public tokenizer file on this machine."""
     import public_tokenizers
@@ -54,6 +65,22 @@ class Encoder:
         #: One-id marks that never join the letters before them.
         self.stops = {x: np.array(y, "<u4").tobytes() for x in ".," if len(y := self.library.encode(x, add_special_tokens=False).ids) == 1}
         self.pieces = self.line is not None and probe.offsets[0][0] == 0 and any(o[0] == 5 for o in probe.offsets)
+        self.model = self.library.model
+        self.letters = byte_letters()
+        self.direct = self.library.normalizer is None and self._agrees()
+
+    def _agrees(self) -> bool:
+        """Whether the model alone gives the library's ids for words with each Latin letter."""
+        words = [f" {x}{x}b" for x in map(chr, range(ord(_LATIN))) if x.isalpha()]
+        return all(self._word(x) == self.whole(x) and self._word(x[1:]) == self.whole(x[1:]) for x in words)
+
+    def _word(self, x: str) -> bytes:
+        """Ids of letters, or of a space and letters, by the model."""
+        space, rest = x[:1] == " ", x[x[:1] == " " :]
+        if not rest.isascii():
+            rest = rest.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(self.letters[32] + rest if space else rest)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     @staticmethod
     def kept(path: str) -> Encoder:
@@ -91,22 +118,25 @@ class Encoder:
 
     def learn(self, missing: set[str]) -> None:
         """Adds the ids of pieces. What follows a line feed, or stands before a last stop or comma, is encoded alone."""
-        if self.size > TABLE_BYTES:
-            self.table.clear()
-            self.size = 0
         self.size += ENTRY_BYTES * len(missing)
-        table, made, alone = self.table, [], set()
+        table, stops, line, word, direct = self.table, self.stops, self.line, self._word, self.direct
+        made, alone = [], set()
         for x in missing:
             y = x[2:] if x[:2] == " \n" else x
-            z = y[:-1] if y[-1:] in self.stops and y[-2:-1].isalpha() else y
-            if x != z:
-                made.append((x, y, z))
-            if z not in table:
+            z = y[:-1] if y[-1:] in stops and y[-2:-1].isalpha() else y
+            ids = table.get(z)
+            if ids is None and direct and (z[1:] if z[:1] == " " else z).isalpha() and (z.isascii() or max(z) < _LATIN):
+                ids = table[z] = word(z)
+            if ids is None:
                 alone.add(z)
+                made.append((x, y, z))
+            elif x != z:
+                ids = ids + stops[y[-1]] if y != z else ids
+                table[x] = line + ids if x != y else ids
         self._learn(list(alone))
         for x, y, z in made:
-            ids = table[z] + self.stops[y[-1]] if y != z else table[z]
-            table[x] = self.line + ids if x[:2] == " \n" else ids
+            ids = table[z] + stops[y[-1]] if y != z else table[z]
+            table[x] = line + ids if x != y else ids
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -124,10 +154,13 @@ class Encoder:
         """Learns the new pieces of several texts in one go."""
         cuts = [self.cut(text) if text else [] for text in texts]
         every: set[str] = set().union(*[found for found in cuts if found])
+        if self.size > TABLE_BYTES:  # starts anew with what these texts use
+            self.table = {x: self.table[x] for x in every if x in self.table}
+            self.size = ENTRY_BYTES * len(self.table)
         table = self.table
         missing = every.difference(table)
         if missing:
-            self.learn(every if self.size > TABLE_BYTES else missing)
+            self.learn(missing)
         return [self.whole(text) if found is None else b"".join(map(table.__getitem__, found)) for text, found in zip(texts, cuts)]
 
 

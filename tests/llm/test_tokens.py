@@ -31,6 +31,16 @@ def test_pieces_encode_as_the_whole_text():
         assert own.encode([text])[0] == np.array(other.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
+def test_letters_go_to_the_model_directly():
+    own, other, r = Encoder(tokenizer_path()), library(), random.Random(2)
+    letters = [x for x in map(chr, range(0x300)) if x.isalpha()] + list("жшλ日ﬁǅ")
+    assert own.direct
+    for _ in range(400):
+        words = ["".join(r.choices(letters, k=r.randint(1, 12))) + r.choice(["", "", ".", ",", "x"]) for _ in range(12)]
+        text = "".join(r.choice([" ", " ", "\n"]) + x for x in words)[r.randint(0, 1) :]
+        assert own.encode([text])[0] == np.array(other.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
 def test_table_is_bounded(monkeypatch):
     from terrace.llm import tokens
 
