@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grid, predicates
-from ..functions.shapes import WORLD, Box, Shape
+from ..functions.shapes import WORLD, Box, Shape, raw_point
 from .shared import checkpoint_dir
 
 PREDICATES: dict[str, Callable[[Shape, Shape], Column]] = {
@@ -171,12 +171,67 @@ def distance_join(left: DataFrame, right: DataFrame, left_point: str, right_poin
     return a.join(b, on).select(*left.columns, *right.columns)
 
 
+#: Halvings of the radius that `nearest` may begin with, and how many right points a cell of about a disc's size may have there, times k.
+MOST_HALVINGS, CROWD = 10, 8
+
+
+def _halvings(right: DataFrame, r: Shape, k: int, precision: int) -> int:
+    """How often to halve the radius, so that even in the densest part a disc has few right points. One row goes to the driver."""
+    deepest = min(MOST_HALVINGS, (60 - precision) // 2)
+    finest = max(2, precision - 4 + 2 * deepest)
+    cells = right.where(r.col.isNotNull()).groupBy(grid.point_key(r["x"], r["y"], finest).alias("cell")).agg(F.count("*").alias("n"))
+    at = cells.select("cell", "n", F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("up"))
+    sums = at.groupBy("up", F.expr("shiftrightunsigned(cell, 2 * up)").alias("cell")).agg(F.sum("n").alias("n"))
+    least = sums.groupBy("up").agg(F.max("n").alias("n")).where(F.col("n") <= CROWD * k).agg(F.max("up")).first()[0]
+    return deepest if least is None else deepest - least
+
+
 def nearest(left: DataFrame, right: DataFrame, left_point: str, right_point: str, k: int, distance: float, left_key: list[str], precision: int = 15) -> DataFrame:
-    """The k nearest right points within `distance` of each left row, nearest first (`rank` from 1)."""
+    """The k nearest right points within `distance` of each left row, nearest first (`rank` from 1).
+
+    Left rows of one place have one answer, so places are searched; of right rows of one place only the first k can count.
+    Discs begin small and double up to `distance`: a place with k right points in its disc is settled, since all others are
+    farther. precision: of the grid at `distance`; smaller discs have smaller cells. Rounds are Parquet in the shared folder.
+    """
+    import uuid
+
     from pyspark.sql import Window
 
+    if both := set(left.columns) & set(right.columns):
+        raise ValueError(f"both sides have {', '.join(sorted(both))}")
+    spark = left.sparkSession
     l, r = Shape.of(left, left_point), Shape.of(right, right_point)
-    d = (l["x"] - r["x"]) * (l["x"] - r["x"]) + (l["y"] - r["y"]) * (l["y"] - r["y"])
-    pairs = distance_join(left, right, left_point, right_point, distance, precision).withColumn("squared_distance", d)
     rest = [c for c in right.columns if c != right_point]
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*left_key).orderBy("squared_distance", *rest))).where(F.col("rank") <= k)
+    first = Window.partitionBy("__x", "__y").orderBy(*rest) if rest else Window.partitionBy("__x", "__y").orderBy("__x")
+    folder = f"{checkpoint_dir(spark)}/nearest-{uuid.uuid4().hex}"
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    few = right.where(r.col.isNotNull()).withColumns({"__x": r["x"], "__y": r["y"]}).withColumn("__n", F.row_number().over(first))
+    few = stored(few.where(F.col("__n") <= k).drop("__x", "__y", "__n"), "right")
+    few_r = Shape.of(few, right_point)
+    places = left.where(l.col.isNotNull()).select(l["x"].alias("__x"), l["y"].alias("__y")).distinct()
+    open_ = stored(places, "places").withColumn("__p", raw_point(F.col("__x"), F.col("__y")))
+    p = Shape.of(open_, "__p")
+    d = (p["x"] - few_r["x"]) * (p["x"] - few_r["x"]) + (p["y"] - few_r["y"]) * (p["y"] - few_r["y"])
+    best = Window.partitionBy("__x", "__y").orderBy("squared_distance", *rest)
+    found = None
+    for halved in range(_halvings(few, few_r, k, precision), -1, -1):
+        pairs = distance_join(open_, few, "__p", right_point, distance / 2**halved, precision + 2 * halved).withColumn("squared_distance", d)
+        ranked = pairs.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= k).drop("__p")
+        # A place counts as settled by its k-th right row; the others' rows wait for a larger disc.
+        ranked = stored(ranked, f"round-{halved}")
+        if halved:
+            settled = ranked.where(F.col("__n") == k).select(F.col("__x").alias("__sx"), F.col("__y").alias("__sy"))
+            same = (F.col("__x") == F.col("__sx")) & (F.col("__y") == F.col("__sy"))
+            open_ = stored(open_.join(settled, same, "left_anti"), f"open-{halved}")
+            ranked = ranked.join(settled, same, "left_semi")
+        found = ranked if found is None else found.unionByName(ranked)
+        if halved and open_.isEmpty():
+            break
+    answers = found.drop("__n")
+    joined = left.join(answers, (l["x"] == F.col("__x")) & (l["y"] == F.col("__y"))).drop("__x", "__y")
+    ranks = F.row_number().over(Window.partitionBy(*left_key).orderBy("squared_distance", *rest))
+    return joined.select(*left.columns, *right.columns, "squared_distance").withColumn("rank", ranks).where(F.col("rank") <= k)

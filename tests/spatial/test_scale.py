@@ -1,8 +1,12 @@
 """What lets queries grow with their input: small expressions and joins without the pairs that nobody asks for."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from terrace.functions import grid
+from terrace.functions.shapes import point
+from terrace.operators import spatial_join as spatial_join_module
+from terrace.operators.spatial_join import distance_join, nearest
 
 
 def test_cell_keys_name_a_coordinate_a_bounded_number_of_times(spark):
@@ -24,3 +28,41 @@ def test_cell_keys_interleave_every_bit(spark):
             assert r.even is None and r.odd is None
         else:
             assert (r.even, r.odd) == (mixed(r.ix, r.iy), mixed(r.iy, r.ix))
+
+
+def _scattered(spark, n, m):
+    """Points of which many share a place, with a crowd, lone ones, nulls and a repeated key."""
+    left = [(i, float(i * 37 % 40) - 20, float(i * 11 % 30) - 15) for i in range(n)] + [(n, 170.0, 80.0), (n + 1, None, 1.0), (0, 3.0, 3.0), (n + 2, -60.0, 0.0)]
+    right = [(j, float(j * 13 % 20) - 10, float(j * 7 % 20) - 10) for j in range(m)] + [(m + j, 5 + j / 64, 5.0) for j in range(60)] + [(m + 60, -69.0, 0.0), (m + 61, None, 0.0)]
+    made = lambda rows, k, p: spark.createDataFrame(rows, f"{k} long, x double, y double").select(k, F.when(F.col("x").isNotNull(), point("x", "y")).alias(p))
+    return made(left, "a", "p"), made(right, "b", "q")
+
+
+def test_nearest_is_that_of_all_pairs(spark):
+    left, right = _scattered(spark, 300, 200)
+    d = (F.col("p.x") - F.col("q.x")) ** 2 + (F.col("p.y") - F.col("q.y")) ** 2
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
+    every = left.crossJoin(right).withColumn("d", d).where("d <= 144").withColumn("rank", rank).where("rank <= 3")
+    wanted = sorted(map(tuple, every.select("a", "b", "d", "rank").collect()))
+    found = nearest(left, right, "p", "q", 3, 12.0, ["a"], precision=10)
+    assert found.columns == ["a", "p", "b", "q", "squared_distance", "rank"]
+    assert sorted(map(tuple, found.select("a", "b", "squared_distance", "rank").collect())) == wanted and len(wanted) > 600
+
+
+def test_nearest_compares_few_pairs(spark):
+    """40 rows at each of 100 places on both sides: all pairs within the distance were ranked, 16 million; now places are, in small discs."""
+    rows = spark.range(4000).select("id", (F.col("id") % 10).cast("double").alias("x"), (F.floor(F.col("id") / 10) % 10).cast("double").alias("y"))
+    left, right = rows.select(F.col("id").alias("a"), point("x", "y").alias("p")), rows.select(F.col("id").alias("b"), point("x", "y").alias("q"))
+    seen = []
+    join = spatial_join_module.distance_join
+
+    def counted(*args, **options):
+        seen.append(join(*args, **options).count())
+        return join(*args, **options)
+
+    spatial_join_module.distance_join = counted
+    try:
+        found = nearest(left, right, "p", "q", 3, 30.0, ["a"], precision=10).where("squared_distance = 0 AND b % 100 = a % 100 AND rank <= 3").count()
+    finally:
+        spatial_join_module.distance_join = join
+    assert found == 12000 and sum(seen) < 20000
