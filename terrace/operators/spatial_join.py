@@ -168,6 +168,8 @@ def distance_join(left: DataFrame, right: DataFrame, left_point: str, right_poin
     a = left.withColumn("__cell_l", F.when(l.col.isNotNull(), grid.point_key(l["x"], l["y"], precision, world)))
     b = right.withColumn("__cell_r", F.explode(grid.cover_keys(Shape(F.when(r.col.isNotNull(), box), "multi"), precision, world)))
     on = (F.col("__cell_l") == F.col("__cell_r")) & predicates.within_distance(l, r, distance)
+    # A left row may have many pairs, so rows are dealt over tasks before: a small file's rows are one or few tasks else.
+    a = a.repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return a.join(b, on).select(*left.columns, *right.columns)
 
 

@@ -66,3 +66,12 @@ def test_nearest_compares_few_pairs(spark):
     finally:
         spatial_join_module.distance_join = join
     assert found == 12000 and sum(seen) < 20000
+
+
+def test_distance_join_spreads_the_left_rows(spark):
+    """A file of one split is one task; its rows are dealt over tasks before each gets its pairs."""
+    left, right = _scattered(spark, 100, 100)
+    joined = distance_join(left.coalesce(1), F.broadcast(right), "p", "q", 12.0, precision=10)
+    d = (F.col("p.x") - F.col("q.x")) ** 2 + (F.col("p.y") - F.col("q.y")) ** 2
+    assert joined.select(F.spark_partition_id()).distinct().count() > 1
+    assert sorted(map(tuple, joined.select("a", "b").collect())) == sorted(map(tuple, left.crossJoin(right).where(d <= 144).select("a", "b").collect()))
