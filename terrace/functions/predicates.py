@@ -7,10 +7,13 @@ unless strict, has an end inside. Tests of bounding boxes come first. Null shape
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .shapes import Box, Shape, as_column
+from .shapes import POLYGON, Box, Shape, as_column
 
 
 def area(ax, ay, bx, by, cx, cy) -> Column:
@@ -97,6 +100,49 @@ def within(a: Shape, b: Shape) -> Column:
     return contains(b, a)
 
 
+def within_each(ps: list[Shape], s: Shape) -> Column:
+    """array<boolean>: `within` of each of several points and one polyline or polygon, by the same arithmetic in numpy.
+
+    An Arrow function, for shapes made row by row with many edges, where a lambda for each edge is slow. Not for conditions
+    of outer joins or within lambdas, where Spark takes no Python.
+    """
+    each = len(ps)
+
+    @F.arrow_udf("array<boolean>")
+    def tested(kind: pa.Array, indices: pa.Array, xs: pa.Array, ys: pa.Array, px: pa.Array, py: pa.Array) -> pa.Array:
+        n = len(kind)
+        size, parts = (np.asarray(pc.fill_null(pc.list_value_length(v), 0)) for v in (xs, indices))
+        x, y, first = (v.flatten().to_numpy(zero_copy_only=False) for v in (xs, ys, indices))
+        begin, row = np.cumsum(size) - size, np.repeat(np.arange(n), size)
+        last = begin + size - 1
+        keep = np.ones(len(x), bool)
+        keep[last[size > 1]] = False
+        starts = begin[np.repeat(np.arange(n), parts)] + first
+        keep[starts[first > 0] - 1] = False
+        a = np.flatnonzero(keep)
+        r = row[a]
+        b = np.minimum(a + 1, last[r])
+        x0, y0, x1, y1 = x[a], y[a], x[b], y[b]
+        left, right, low, high = np.minimum(x0, x1), np.maximum(x0, x1), np.minimum(y0, y1), np.maximum(y0, y1)
+        area_of = np.asarray(pc.fill_null(kind, 0)) == POLYGON
+        at_x, at_y = (v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, each) for v in (px, py))
+        out = np.zeros((n, each), bool)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            slope = (y1 - y0) / (x1 - x0)
+            for k in range(each):
+                u, v = at_x[r, k], at_y[r, k]
+                on = (u >= left) & (u <= right) & (v >= low) & (v <= high) & ((v - y0) * (x1 - x0) - (y1 - y0) * (u - x0) == 0)
+                above = ((x0 <= u) & (u < x1) | (x1 <= u) & (u < x0)) & (v < slope * (u - x0) + y0)
+                touched, odd = np.bincount(r, on, n) > 0, np.bincount(r, above, n) % 2 == 1
+                out[:, k] = np.where(area_of, odd & ~touched, touched)
+        offsets = pa.array(np.arange(n + 1, dtype=np.int32) * each, mask=np.append(np.asarray(pc.is_null(kind)), False))
+        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
+
+    c = s.col
+    found = tested(c["type"], c["indices"], c["xcoordinates"], c["ycoordinates"], F.array(*[p["x"] for p in ps]), F.array(*[p["y"] for p in ps]))
+    return F.zip_with(F.array(*[box_contains(s, p) for p in ps]), found, lambda gate, hit: gate & hit)
+
+
 def covers(a: Shape, b: Shape) -> Column:
     """A point inside a polygon or on its boundary; otherwise as contains."""
     if b.kind == "point" and a.kind == "multi":

@@ -89,8 +89,13 @@ def line(start_x, start_y, end_x, end_y) -> Column:
 
 def _multi(tag: int, indices: Column | str, xs: Column | str, ys: Column | str) -> Column:
     i, x, y = as_column(indices).cast("array<int>"), as_column(xs).cast("array<double>"), as_column(ys).cast("array<double>")
-    made = _struct(tag, F.array_min(x), F.array_min(y), F.array_max(x), F.array_max(y), indices=i, xcoordinates=x, ycoordinates=y)
-    return F.when(F.size(x) > 0, made)
+
+    def made(m: Column) -> Column:
+        x, y = m["x"], m["y"]
+        return F.when(F.size(x) > 0, _struct(tag, F.array_min(x), F.array_min(y), F.array_max(x), F.array_max(y), indices=m["i"], xcoordinates=x, ycoordinates=y))
+
+    # Bound, so that coordinates that are long to make are made once and not again for the box.
+    return bound(F.struct(i.alias("i"), x.alias("x"), y.alias("y")), made)
 
 
 def polyline(indices, xs, ys) -> Column:
@@ -200,7 +205,11 @@ def edges(s: Shape) -> Column:
         n = F.size(x)
         # One vertex alone is an edge of no length, so that a polyline of one vertex can be met.
         inner = F.filter(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: (n == 1) | ~F.array_contains(first, i + 1))
-        return F.transform(inner, lambda i: edge(F.get(x, i), F.get(y, i), F.get(x, F.least(i + 1, n - 1)), F.get(y, F.least(i + 1, n - 1))))
+        several = F.transform(inner, lambda i: edge(F.get(x, i), F.get(y, i), F.get(x, F.least(i + 1, n - 1)), F.get(y, F.least(i + 1, n - 1))))
+        # One ring or part, the most frequent: each vertex with its next.
+        m1 = F.greatest(n - 1, F.lit(0))
+        one = F.arrays_zip(F.slice(x, 1, m1).alias("x0"), F.slice(y, 1, m1).alias("y0"), F.slice(x, 2, m1).alias("x1"), F.slice(y, 2, m1).alias("y1"))
+        return F.when((F.size(first) == 1) & (n > 1), one).otherwise(several)
 
     return bound(c, cut)
 

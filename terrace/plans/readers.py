@@ -188,13 +188,16 @@ def python_predicate(spark, d):
 def buffer_segments(spark, d):
     """Buffers of segments, and of one 1275 long with a distance of 0.01: points inside and beside them."""
     s, n = Shape(F.col("segment"), "line"), 0.01
-    thin = Shape(F.struct(F.lit(0.0).alias("startX"), F.lit(0.0).alias("startY"), F.lit(1000.0).alias("endX"), F.lit(777.0).alias("endY")), "line")
-    made = segments(spark, d).select("o_orderkey", "segment", buffer(s, 0.5, 8).alias("b"), buffer(thin, n, 8).alias("t"))
     at = lambda x, y: Shape(point(x, y), "point")
-    within = lambda p, b: P.within(p, multis(b))
-    ends = within(at(s["startX"], s["startY"]), "b") & within(at(s["endX"], s["endY"]), "b")
-    long_thin = within(at(F.lit(-0.005), F.lit(0.0)), "t") & within(at(F.lit(500.0), F.lit(388.5)), "t") & ~within(at(F.lit(500.0), F.lit(388.52)), "t") & within(at(F.lit(1000.005), F.lit(777.0)), "t")
-    return made.select("o_orderkey", ends.alias("holds_ends"), within(at(s["startX"] + 1, s["startY"] - 1), "b").alias("holds_beside"), long_thin.alias("long_thin"))
+    made = segments(spark, d).select("o_orderkey", "segment", buffer(s, 0.5, 8).alias("b"))
+    asked = [at(s["startX"], s["startY"]), at(s["endX"], s["endY"]), at(s["startX"] + 1, s["startY"] - 1)]
+    held = made.select("o_orderkey", P.within_each(asked, multis("b")).alias("w"))
+    tested = held.select("o_orderkey", (F.get("w", F.lit(0)) & F.get("w", F.lit(1))).alias("holds_ends"), F.get("w", F.lit(2)).alias("holds_beside"))
+    # The long one is the same for all segments: one row with its answer, beside each of them.
+    thin = spark.range(1).select(F.struct(F.lit(0.0).alias("startX"), F.lit(0.0).alias("startY"), F.lit(1000.0).alias("endX"), F.lit(777.0).alias("endY")).alias("thin"))
+    one, t = thin.select(buffer(lines("thin"), n, 8).alias("t")), multis("t")
+    long_thin = P.within(at(F.lit(-0.005), F.lit(0.0)), t) & P.within(at(F.lit(500.0), F.lit(388.5)), t) & ~P.within(at(F.lit(500.0), F.lit(388.52)), t) & P.within(at(F.lit(1000.005), F.lit(777.0)), t)
+    return tested.crossJoin(F.broadcast(one.select(long_thin.alias("long_thin"))))
 
 
 _LOCATED = f"WITH {SQL}, tests AS ({edge_tests(DIAMONDS)}), pairs AS (SELECT c_custkey, n_nationkey FROM tests WHERE NOT on_edge AND above % 2 = 1)"

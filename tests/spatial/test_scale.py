@@ -3,8 +3,9 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from terrace.functions import grid
-from terrace.functions.shapes import point
+from terrace.functions import grid, predicates as P
+from terrace.functions.shapes import Shape, multis, point, polyline
+from terrace.functions.wkt import wkt
 from terrace.operators import spatial_join as spatial_join_module
 from terrace.operators.spatial_join import distance_join, nearest
 
@@ -75,3 +76,25 @@ def test_distance_join_spreads_the_left_rows(spark):
     d = (F.col("p.x") - F.col("q.x")) ** 2 + (F.col("p.y") - F.col("q.y")) ** 2
     assert joined.select(F.spark_partition_id()).distinct().count() > 1
     assert sorted(map(tuple, joined.select("a", "b").collect())) == sorted(map(tuple, left.crossJoin(right).where(d <= 144).select("a", "b").collect()))
+
+
+def test_several_points_at_once_are_within_as_one_by_one(spark):
+    texts = ["POLYGON ((0 0, 0 4, 4 4, 4 0, 0 0),(1 1, 2 1, 2 2, 1 2, 1 1))", "POLYGON ((0 0, 0 2, 1 2, 1 1, 2 1, 2 0, 0 0))", "LINESTRING (0 0, 3 3, 3 0)", "POINT (1 1)", None, "POLYGON ((0 0, 2 3, 4 0, 0 0))"]
+    two = polyline(F.array(F.lit(0), F.lit(2)), F.array(*map(F.lit, (0.0, 1.0, 3.0, 3.0))), F.array(*map(F.lit, (0.0, 0.0, 0.0, 3.0))))
+    shapes = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.when(F.col("i") == 3, two).otherwise(F.coalesce(wkt("t")["polygon"], wkt("t")["polyline"])).alias("g"))
+    at = [(0.5, 0.5), (1.5, 1.5), (1.0, 1.0), (3.0, 1.0), (0.0, 0.0), (2.0, 0.0), (1.0, 5.0), (2.0, 2.0)]
+    points_ = [Shape(point(*p), "point") for p in at] + [Shape(point(F.col("i") + 0.25, F.col("i") * 0.5), "point")]
+    rows = shapes.select(P.within_each(points_, multis("g")).alias("each"), F.array(*[P.within(p, multis("g")) for p in points_]).alias("one")).collect()
+    assert len(rows) == 6 and sum(r.each is None for r in rows) == 1
+    assert all(r.each == r.one for r in rows if r.each is not None) and sum(map(sum, (r.one for r in rows if r.each is not None))) > 12
+
+
+def test_segment_buffers_are_tested_without_a_lambda_for_each_edge(spark):
+    """The long buffer is one row's, and no predicate goes over the edges of each segment's buffer in the rows' projection."""
+    from terrace.plans import catalogue
+
+    made = catalogue.queries()["buffer_segments"](spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "tested(" in plan and "Join Cross" in plan
+    rows = made.collect()
+    assert len(rows) == 1500 and all(r.holds_ends and not r.holds_beside and r.long_thin for r in rows)
